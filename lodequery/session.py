@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,3 +55,14 @@ def default_parallelism(spark: SparkSession) -> int:
 
 def cpu_count() -> int:
     return os.cpu_count() or 1
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, for workers that don't find it by themselves."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodequery_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="lodequery-")
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "lodequery"), "zip", os.path.dirname(here), os.path.basename(here)))
+    sc._lodequery_shipped = True
