@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodequery.llm.vocabulary import term_groups, with_group
-from lodequery.operators.joins import BROADCAST_ROWS
+from lodequery.operators.joins import BROADCAST_ROWS, broadcast_if_small
 
 
 def occurrence_count() -> Column:
@@ -30,21 +30,31 @@ def occurrence_count() -> Column:
 def document_terms(postings: DataFrame, groups: DataFrame) -> DataFrame:
     """``doc_id, gid, tf, term_id``: one row for each document and normalized term.
 
-    Repeated rows count once; occurrences under several spellings are added up, and
-    ``term_id`` is the spelling with most of them (the least id on ties). Everything is
-    grouped after one exchange by document.
+    Repeated rows count once (a position of a document holds one term, so the first one
+    tells rows apart); occurrences under several spellings are added up, and ``term_id``
+    is the spelling with most of them (the least id on ties). Everything is grouped after
+    one exchange by document.
     """
     rows = with_group(postings.select("doc_id", "term_id", "tf", "positions"), groups).where("doc_id IS NOT NULL")
-    slim = rows.select(
-        "doc_id", "gid", "term_id", occurrence_count().alias("tf"), F.xxhash64("positions").alias("at")
-    ).where("tf > 0")
-    once = slim.repartition("doc_id").groupBy("doc_id", "gid", "term_id", "tf", "at").agg(F.lit(1).alias("one"))
+    first = F.try_element_at("positions", F.lit(1))
+    slim = rows.select("doc_id", "gid", "term_id", occurrence_count().cast("int").alias("tf"), first.alias("at"))
+    once = slim.where("tf > 0").repartition("doc_id").groupBy("doc_id", "gid", "term_id", "tf", "at").agg(F.lit(1).alias("one"))
     spelled = once.groupBy("doc_id", "gid", "term_id").agg(F.sum("tf").alias("tf"))
     return spelled.groupBy("doc_id", "gid").agg(
         F.sum("tf").alias("tf"), F.max_by("term_id", F.struct("tf", -F.col("term_id"))).alias("term_id")
     )
 
 
+def collection_frequencies(postings: DataFrame, groups: DataFrame) -> DataFrame:
+    """``gid, doc_freq, coll_freq`` over all postings."""
+    rows = with_group(postings.select("doc_id", "term_id", "tf", "positions"), groups).where("doc_id IS NOT NULL")
+    first = F.try_element_at("positions", F.lit(1))
+    slim = rows.select("doc_id", "gid", occurrence_count().cast("int").alias("tf"), first.alias("at")).where("tf > 0")
+    once = slim.repartition("doc_id").groupBy("doc_id", "gid", "at").agg(F.max("tf").alias("tf"))
+    per = once.groupBy("doc_id", "gid").agg(F.sum("tf").alias("tf"))
+    return per.groupBy("gid").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("coll_freq"))
+
+
 def ridf(df: Column, cf: Column, n: Column) -> Column:
     return -F.log2(df / n) + F.log2(-F.expm1(-cf / n))
 
@@ -58,14 +68,17 @@ def term_distinctiveness(postings: DataFrame, terms: DataFrame, only: DataFrame
     left out; an empty table gives an empty result.
     """
     groups = term_groups(terms)
-    per = document_terms(postings, groups)
+    asked = postings
+    if only is not None:
+        ids = only.select("doc_id").where("doc_id IS NOT NULL").distinct()
+        asked = postings.join(broadcast_if_small(ids), "doc_id", "left_semi")
+    per = document_terms(asked, groups)
     n = postings.where("doc_id IS NOT NULL").select("doc_id").distinct().count()
-    stats = per.groupBy("gid").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("coll_freq"))
+    stats = collection_frequencies(postings, groups)
     if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # bounds the distinct gids
         stats = F.broadcast(stats)
     lengths = per.groupBy("doc_id").agg(F.sum("tf").alias("length"))
-    wanted = per if only is None else per.join(only.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
-    scored = wanted.join(lengths, "doc_id").join(stats, "gid")
+    scored = per.join(lengths, "doc_id").join(stats, "gid")
     total = F.lit(float(max(n, 1)))
     share = F.col("tf") / F.col("coll_freq")
     value = F.col("tf") * ridf(F.col("doc_freq"), F.col("coll_freq"), total) / F.col("length") * share

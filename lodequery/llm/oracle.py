@@ -4,8 +4,9 @@ from __future__ import annotations
 
 _GROUPS = r"""
 folded AS (
-  SELECT DISTINCT term_id, regexp_replace(lower(strip_accents(translate(term,
-    'ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ', 'abcdefghijklmnopqrstuvwxyz'))), '[^\p{L}\p{N}\p{M}]', '', 'g') AS term
+  SELECT DISTINCT term_id, CASE WHEN regexp_matches(term, '[\p{Han}\p{Katakana}\p{Hiragana}]') THEN term
+    ELSE regexp_replace(lower(strip_accents(translate(term,
+    'ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ', 'abcdefghijklmnopqrstuvwxyz'))), '[^\p{L}\p{N}\p{M}]', '', 'g') END AS term
   FROM terms WHERE term_id IS NOT NULL AND term IS NOT NULL),
 groups AS (
   SELECT term_id, term, min(term_id) OVER (PARTITION BY term) AS gid FROM folded WHERE term <> ''),
@@ -37,12 +38,29 @@ marked AS (
 )
 
 
+_LINES = r"""
+split AS (
+  SELECT doc_id, content_text, string_split(content_text, chr(10)) AS parts,
+    regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', '') AS site
+  FROM documents WHERE content_text IS NOT NULL AND doc_id IS NOT NULL),
+line AS (
+  SELECT doc_id, site, i - 1 AS line_no, parts[i] AS raw, regexp_replace(lower(parts[i]), '[^\p{L}]', '', 'g') AS key
+  FROM split, LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)),
+often AS (
+  SELECT site, key FROM line WHERE key <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"""WITH {_SCORES}
 SELECT doc_id, arg_max(term_id, score) AS term_id FROM scored SEMI JOIN term_checks USING (doc_id) GROUP BY doc_id""",
         "p1_scores": f"""WITH {_SCORES}
-SELECT doc_id, term_id, tf, doc_freq, coll_freq, round(score, 6) AS score FROM scored""",
+SELECT doc_id, term_id, tf, doc_freq, coll_freq, round(score, 6) + 0.0 AS score FROM scored""",
         "p3_found": f"WITH {_TERMS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
         "p3_terms": f"WITH {_TERMS} SELECT term, occurrences, doc_count, mark FROM marked",
+        "p7_found": f"WITH {_LINES} SELECT doc_id, line_no::INT AS line_no FROM line SEMI JOIN often USING (site, key)",
+        "p7_cleaned": f"""WITH {_LINES}, kept AS (
+  SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_no) AS content_text FROM line ANTI JOIN often USING (site, key) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN d.content_text IS NOT NULL THEN coalesce(k.content_text, '') END AS content_text
+FROM documents d LEFT JOIN kept k USING (doc_id)""",
     }

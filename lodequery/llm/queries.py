@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodequery.llm import distinctive, encoding, frequencies, packing
+from lodequery.llm import boilerplate, distinctive, encoding, encoding_repair, frequencies, packing, site_lines
 from lodequery.session import cut_lineage
 from lodequery.sources.tables import read_table
 
@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, at: str) -> DataFrame:
 
 def p1_scores(spark: SparkSession, at: str) -> DataFrame:
     scored = distinctive.term_distinctiveness(read_table(spark, at, "postings"), read_table(spark, at, "terms"))
-    return scored.select("doc_id", "term_id", "tf", "doc_freq", "coll_freq", F.round("score", 6).alias("score"))
+    return scored.select("doc_id", "term_id", "tf", "doc_freq", "coll_freq", (F.round("score", 6) + 0.0).alias("score"))
 
 
 def p3_terms(spark: SparkSession, at: str) -> DataFrame:
@@ -37,6 +37,37 @@ def p3_phrases(spark: SparkSession, at: str) -> DataFrame:
     return counts.select(F.array_join("ngram", " ").alias("ngram"), "occurrences", "doc_count")
 
 
+def p5_found(spark: SparkSession, at: str) -> DataFrame:
+    return boilerplate.boilerplate_lines(read_table(spark, at, "documents"))
+
+
+def p5_main_text(spark: SparkSession, at: str) -> DataFrame:
+    return boilerplate.main_text(read_table(spark, at, "documents"))
+
+
+def p6_found(spark: SparkSession, at: str) -> DataFrame:
+    return encoding_repair.garbled_fields(read_table(spark, at, "documents")).select("doc_id", "field")
+
+
+def p6_restored(spark: SparkSession, at: str) -> DataFrame:
+    return encoding_repair.garbled_fields(read_table(spark, at, "documents"))
+
+
+def p7_found(spark: SparkSession, at: str) -> DataFrame:
+    return site_lines.repeated_line_places(read_table(spark, at, "documents"))
+
+
+def p7_lines(spark: SparkSession, at: str) -> DataFrame:
+    """Repeated lines by site, how often they stand elsewhere, and whether that is a surprise."""
+    found = site_lines.repeated_lines(read_table(spark, at, "documents"))
+    key = F.concat_ws(":", F.hex("key.a"), F.hex("key.b"))
+    return found.select("site", key.alias("line"), "docs", "outside", F.round("ratio", 4).alias("ratio"), "significant")
+
+
+def p7_cleaned(spark: SparkSession, at: str) -> DataFrame:
+    return site_lines.without_repeated_lines(read_table(spark, at, "documents"))
+
+
 def p8_ids(spark: SparkSession, at: str) -> DataFrame:
     return encoding.encode_texts(read_table(spark, at, "documents"))
 
@@ -46,5 +77,11 @@ def p9_pack(spark: SparkSession, at: str) -> DataFrame:
     return packing.pack(sizes, read_table(spark, at, "containers"))
 
 
+_QUERIES = (
+    p1_found, p1_scores, p3_found, p3_terms, p3_phrases, p5_found, p5_main_text, p6_found, p6_restored,
+    p7_found, p7_lines, p7_cleaned, p8_ids, p9_pack,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_scores, p3_found, p3_terms, p3_phrases, p8_ids, p9_pack)}
+    return {f.__name__: f for f in _QUERIES}
