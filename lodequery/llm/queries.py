@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodequery.llm import boilerplate, distinctive, encoding, encoding_repair, frequencies, packing, site_lines
+from lodequery.llm import abuse, boilerplate, distinctive, encoding, encoding_repair, frequencies, languages, packing, site_lines
 from lodequery.session import cut_lineage
 from lodequery.sources.tables import read_table
 
@@ -37,6 +37,15 @@ def p3_phrases(spark: SparkSession, at: str) -> DataFrame:
     return counts.select(F.array_join("ngram", " ").alias("ngram"), "occurrences", "doc_count")
 
 
+def p4_found(spark: SparkSession, at: str) -> DataFrame:
+    return languages.wrong_labels(read_table(spark, at, "documents"))
+
+
+def p4_languages(spark: SparkSession, at: str) -> DataFrame:
+    found = languages.page_languages(read_table(spark, at, "documents"))
+    return found.select("doc_id", "line_no", "lang", F.round("confidence", 4).alias("confidence"))
+
+
 def p5_found(spark: SparkSession, at: str) -> DataFrame:
     return boilerplate.boilerplate_lines(read_table(spark, at, "documents"))
 
@@ -77,9 +86,23 @@ def p9_pack(spark: SparkSession, at: str) -> DataFrame:
     return packing.pack(sizes, read_table(spark, at, "containers"))
 
 
+def p10_found(spark: SparkSession, at: str) -> DataFrame:
+    return abuse.abusive_documents(read_table(spark, at, "documents"))
+
+
+def p10_rates(spark: SparkSession, at: str) -> DataFrame:
+    return abuse.site_rates(read_table(spark, at, "documents"))
+
+
+def p10_scores(spark: SparkSession, at: str) -> DataFrame:
+    scored = abuse.abuse_scores(read_table(spark, at, "documents"))
+    return scored.select("doc_id", F.round("score", 4).alias("score"), F.round("density", 4).alias("density"))
+
+
 _QUERIES = (
-    p1_found, p1_scores, p3_found, p3_terms, p3_phrases, p5_found, p5_main_text, p6_found, p6_restored,
+    p1_found, p1_scores, p3_found, p3_terms, p3_phrases, p4_found, p4_languages, p5_found, p5_main_text, p6_found, p6_restored,
     p7_found, p7_lines, p7_cleaned, p8_ids, p9_pack,
+    p10_found, p10_rates, p10_scores,
 )
 
 
