@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodequery.llm import abuse, boilerplate, distinctive, encoding, encoding_repair, frequencies, languages, packing, site_lines
+from lodequery.llm import abuse, boilerplate, distinctive, encoding, encoding_repair, frequencies, languages, near_duplicates, packing, site_lines
 from lodequery.session import cut_lineage
 from lodequery.sources.tables import read_table
 
@@ -23,6 +23,17 @@ def p1_scores(spark: SparkSession, at: str) -> DataFrame:
     return scored.select("doc_id", "term_id", "tf", "doc_freq", "coll_freq", (F.round("score", 6) + 0.0).alias("score"))
 
 
+def p2_found(spark: SparkSession, at: str) -> DataFrame:
+    return near_duplicates.repeated_pairs(read_table(spark, at, "documents"))
+
+
+def p2_accepted(spark: SparkSession, at: str) -> DataFrame:
+    """Which page each page repeats, by batch; null for accepted ones."""
+    docs = read_table(spark, at, "documents")
+    repeats, _ = near_duplicates.find_repeats(docs)
+    return docs.select("doc_id", "batch_id").join(repeats, "doc_id", "left")
+
+
 def p3_terms(spark: SparkSession, at: str) -> DataFrame:
     return frequencies.term_frequencies(read_table(spark, at, "postings"), read_table(spark, at, "terms"))
 
@@ -100,7 +111,7 @@ def p10_scores(spark: SparkSession, at: str) -> DataFrame:
 
 
 _QUERIES = (
-    p1_found, p1_scores, p3_found, p3_terms, p3_phrases, p4_found, p4_languages, p5_found, p5_main_text, p6_found, p6_restored,
+    p1_found, p1_scores, p2_found, p2_accepted, p3_found, p3_terms, p3_phrases, p4_found, p4_languages, p5_found, p5_main_text, p6_found, p6_restored,
     p7_found, p7_lines, p7_cleaned, p8_ids, p9_pack,
     p10_found, p10_rates, p10_scores,
 )
