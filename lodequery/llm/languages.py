@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodequery.llm.boilerplate import Judge, SiteLines, pages_of
@@ -160,15 +160,12 @@ def named_column(label: Column) -> Column:
 
 def fit(docs: DataFrame, pages: int = SAMPLE_PAGES) -> Prototypes:
     """Prototypes from at most ``pages`` labelled pages a language; pages that look like another one are then dropped."""
-    labelled = docs.select("doc_id", named_column(F.col("lang")).alias("known"), "content_text")
-    labelled = labelled.where("known IS NOT NULL AND doc_id IS NOT NULL AND length(content_text) > 0")
-    parts = [labelled.where(F.col("known") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(pages) for k in LANGUAGES]
-    ids = parts[0].select("doc_id", "known")
-    for part in parts[1:]:
-        ids = ids.unionByName(part.select("doc_id", "known"))
-    chosen = ids.collect()  # len(LANGUAGES) * pages rows at most
+    labelled = docs.select("doc_id", named_column(F.col("lang")).alias("known")).where("known IS NOT NULL AND doc_id IS NOT NULL")
+    order = Window.partitionBy("known").orderBy(F.xxhash64("doc_id"), "doc_id")  # every task keeps ``pages`` rows of a language
+    best = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pages)
+    chosen = best.select("doc_id", "known").collect()  # len(LANGUAGES) * pages rows at most
     sample = docs.where(F.col("doc_id").isin([r.doc_id for r in chosen])).select("doc_id", "content_text").collect() if chosen else []
-    text = {r.doc_id: r.content_text for r in sample}
+    text = {r.doc_id: r.content_text or "" for r in sample}
     texts = {k: [text[r.doc_id] for r in chosen if r.known == k] for k in LANGUAGES}
     first = Prototypes(texts)
     table = first.table()
