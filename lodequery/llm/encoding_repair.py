@@ -310,8 +310,11 @@ def repair(text: str, scores: PairScores, deep: bool = True) -> tuple[str, int,
     return text, damaged, not lost
 
 
-def suspicious(texts: list[str | None], scores: PairScores, least_deep: int = LEAST_DEEP) -> list[tuple[int, bool]]:
-    """Numbers of the texts worth testing; True where several pairs are next to unknown."""
+def suspicious(texts: list[str | None], scores: PairScores, least_deep: int = LEAST_DEEP, least_share: float = 0.0) -> list[tuple[int, bool]]:
+    """Numbers of the texts worth testing; True where several pairs are next to unknown.
+
+    ``least_deep``, ``least_share``: how many, and what share of the text's pairs outside ASCII.
+    """
     some = [i for i, t in enumerate(texts) if t and not t.isascii()]
     if not some or not len(scores.pairs):
         return []
@@ -323,7 +326,8 @@ def suspicious(texts: list[str | None], scores: PairScores, least_deep: int = LE
     at = np.minimum(np.searchsorted(scores.pairs, asked), len(scores.pairs) - 1)
     value = np.where(scores.pairs[at] == asked, scores.values[at], -SCORE_BOUND)
     unknown = np.searchsorted(ends, mixed[value <= DEEP], side="right")
-    deep = np.bincount(unknown[unknown < len(some)], minlength=len(some)) >= least_deep
+    pairs = np.bincount(np.minimum(np.searchsorted(ends, mixed, side="right"), len(some) - 1), minlength=len(some))
+    deep = np.bincount(unknown[unknown < len(some)], minlength=len(some)) >= np.maximum(least_deep, least_share * pairs)
     out = []
     for i, d in zip(some, deep.tolist(), strict=True):
         text = texts[i]
@@ -345,13 +349,13 @@ def corpus_pairs(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 class Repairer:
     """Repairs the texts of a batch; made once in each worker from shared pair counts."""
 
-    def __init__(self, pairs: np.ndarray, n: np.ndarray, least_deep: int = 6):
-        self.scores, self.least_deep = PairScores(pairs, n), least_deep
+    def __init__(self, pairs: np.ndarray, n: np.ndarray, least_deep: int = 6, least_share: float = 0.15):
+        self.scores, self.least = PairScores(pairs, n), (least_deep, least_share)
 
     def __call__(self, texts: list[str | None]) -> list[str | None]:
         """The texts with wrongly decoded stretches restored; line ends stay where they are."""
         out = list(texts)
-        for i, deep in suspicious(texts, self.scores, self.least_deep):
+        for i, deep in suspicious(texts, self.scores, *self.least):
             text, runs, _ = repair(texts[i], self.scores, deep)
             if runs and text.count("\n") == texts[i].count("\n"):
                 out[i] = text
