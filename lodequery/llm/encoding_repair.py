@@ -31,6 +31,8 @@ SCORE_BOUND, PLAIN_COST, LEAST_SEGMENT = 6.0, 1.0, 2.0
 LEAST_WIDE = 1.5
 #: Score that another table must gain over all places of a stretch, and over the field.
 LEAST_EACH, LEAST_GAIN = 5.0, 14.0
+#: The same between two Cyrillic tables, which turn any word into letters.
+LEAST_CYRILLIC = 30.0
 MAX_ROUNDS = 3
 
 # How text may have been read (left) although it was in (right).
@@ -56,6 +58,7 @@ _WIDE = [k for k, (_, was) in enumerate(MAPPINGS) if was == "utf-8"]
 _STRETCH = re.compile(r"[^\x00-\x7f]+")
 _PAIRS = re.compile(r"[^\x00-\x7f]{2,}")
 _OPEN, _CLOSE = "“„«\"'‘‚`»”", "”“»\"'’`«"
+_SPACES = " \u00a0\u202f"
 _LOST = "�"
 
 
@@ -111,9 +114,14 @@ def remap(stretch: str, read: str, was: str) -> str | None:
     return "".join(out) if changed else None
 
 
+def _even(text: str) -> str:
+    """Lower case, no-break spaces as spaces: what pairs are counted over."""
+    return text.lower().replace("\u00a0", " ")
+
+
 def pair_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Adjacent pairs of characters (lower case) as ``first << 32 | second``, with their counts."""
-    codes = np.frombuffer("\n".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    codes = np.frombuffer(_even("\n".join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     if len(codes) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = codes[:-1], codes[1:]
@@ -131,6 +139,11 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], ["pair", "n"])
 
 
+@lru_cache(maxsize=10_000)
+def _is_sign(code: int) -> bool:
+    return unicodedata.category(chr(code)) in ("Sc", "Sk", "Sm", "So", "No", "Cc", "Cf")
+
+
 class PairScores:
     """Scores of adjacent characters: positive where their share of the mutual information is usual."""
 
@@ -144,6 +157,10 @@ class PairScores:
         expected = np.bincount(fi, n)[fi] * np.bincount(si, n)[si] / total
         information = n / total * np.maximum(np.log2(n / expected), 0.5)
         self.values = np.clip(np.log2(information / USUAL), -SCORE_BOUND, SCORE_BOUND)
+        # Signs and control codes next to other characters outside ASCII are damage however often they occur.
+        odd = np.flatnonzero((first > 127) & (second > 127))
+        signs = [_is_sign(a) or _is_sign(b) for a, b in zip(first[odd].tolist(), second[odd].tolist(), strict=True)]
+        self.values[odd[signs]] = np.minimum(self.values[odd[signs]], -2.0)
 
     @cached_property
     def by_pair(self) -> dict[str, float]:
@@ -151,7 +168,7 @@ class PairScores:
 
     def each(self, text: str) -> list[float]:
         """Scores of the pairs of a few characters."""
-        low, get = text.lower(), self.by_pair.get
+        low, get = _even(text), self.by_pair.get
         return [get(low[i : i + 2], -SCORE_BOUND) for i in range(len(low) - 1)]
 
     def of_codes(self, codes: np.ndarray) -> np.ndarray:
@@ -164,7 +181,7 @@ class PairScores:
 
 def improbable_runs(text: str, scores: PairScores) -> list[tuple[int, int]]:
     """Maximum-scoring segments (as spans of characters) of the improbability of neighbours."""
-    codes = np.frombuffer(text.lower()[: len(text)].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    codes = np.frombuffer(_even(text)[: len(text)].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     value = -scores.of_codes(codes)
     plain = (codes[:-1] < 128) & (codes[1:] < 128)
     value[plain] = -PLAIN_COST
@@ -199,15 +216,23 @@ def improbable_runs(text: str, scores: PairScores) -> list[tuple[int, int]]:
 
 
 def _quoted(text: str, lo: int, hi: int) -> bool:
-    """A sample: nothing but this stretch stands between quotation marks."""
+    """A sample: nothing but this stretch, and spaces, stands between quotation marks."""
     while lo < hi and text[lo] in _OPEN and hi - lo > 1 and text[hi - 1] in _CLOSE:
         lo, hi = lo + 1, hi - 1
+    while lo > 0 and text[lo - 1] in _SPACES:
+        lo -= 1
+    while hi < len(text) and text[hi] in _SPACES:
+        hi += 1
     return 0 < lo and hi < len(text) and text[lo - 1] in _OPEN and text[hi] in _CLOSE
 
 
 def _trim_quotes(text: str, lo: int, hi: int) -> tuple[int, int]:
     if hi - lo > 2 and text[lo] in _OPEN and text[hi - 1] in _CLOSE:
-        return lo + 1, hi - 1
+        lo, hi = lo + 1, hi - 1
+        while hi - lo > 1 and text[lo] in _SPACES:
+            lo += 1
+        while hi - lo > 1 and text[hi - 1] in _SPACES:
+            hi -= 1
     return lo, hi
 
 
@@ -228,7 +253,7 @@ def _readings(stretch: str) -> tuple[tuple[int, str], ...]:
         if was == "utf-8" and len(stretch) < 2:
             continue
         put = remap(stretch, read, was)
-        if put is not None and put != stretch:
+        if put is not None and put != stretch and (was == "utf-8" or "\u00a0" not in put):
             found.append((k, put))
     for k, (outer, inner) in enumerate(TWICE, len(MAPPINGS)):
         once = remap(stretch, outer, "utf-8") if len(stretch) > 2 else None
@@ -244,6 +269,15 @@ def _maybe_wide(stretch: str) -> bool:
     return any(remap(stretch, MAPPINGS[k][0], "utf-8") is not None for k in _WIDE)
 
 
+_CYRILLIC = {"cp1251", "koi8_r", "cp866", "mac_cyrillic", "iso8859_5"}
+
+
+def _least_gain(k: int) -> float:
+    if _is_wide(k):
+        return LEAST_WIDE
+    return LEAST_CYRILLIC if set(MAPPINGS[k]) <= _CYRILLIC else LEAST_GAIN
+
+
 def _is_wide(k: int) -> bool:
     return k >= len(MAPPINGS) or MAPPINGS[k][1] == "utf-8"
 
@@ -285,8 +319,9 @@ def repair(text: str, scores: PairScores, deep: bool = True) -> tuple[str, int,
             for k, put in _readings(piece):
                 if _is_wide(k):
                     gains = [_local(text, lo, hi, put, scores) for lo, hi in at]
-                    taken = [(lo, hi, put) for (lo, hi), g in zip(at, gains, strict=True) if g > LEAST_WIDE]
-                    gain = sum(g for g in gains if g > LEAST_WIDE)
+                    good = [g > LEAST_WIDE for g in gains]
+                    taken = [(lo, hi, put) for (lo, hi), ok in zip(at, good, strict=True) if ok]
+                    gain = sum(g for g, ok in zip(gains, good, strict=True) if ok)
                 elif odd:  # a character may be right in one place and wrong in another, but not in the same way
                     gain = sum(_local(text, lo, hi, put, scores) for lo, hi in at)
                     taken = [(lo, hi, put) for lo, hi in at] if gain > LEAST_EACH * len(at) else []
@@ -300,7 +335,7 @@ def repair(text: str, scores: PairScores, deep: bool = True) -> tuple[str, int,
             apart = not any(text[max(lo - 1, 0) : lo].isalpha() or text[hi : hi + 1].isalpha() for lo, hi, _ in changes[k])
             if apart and len(pieces) == 1 and unicodedata.category(next(iter(pieces))[0]) in ("No", "Sc", "So"):
                 del total[k]  # a lone sign such as a fraction is no evidence of another table
-        ranked = [(gain, k) for k, gain in total.items() if gain > (LEAST_WIDE if _is_wide(k) else LEAST_GAIN)]
+        ranked = [(gain, k) for k, gain in total.items() if gain > _least_gain(k)]
         if not ranked:
             break
         _, k = max(ranked)
@@ -318,7 +353,7 @@ def suspicious(texts: list[str | None], scores: PairScores, least_deep: int = LE
     some = [i for i, t in enumerate(texts) if t and not t.isascii()]
     if not some or not len(scores.pairs):
         return []
-    joined = [texts[i].lower() for i in some]
+    joined = [_even(texts[i]) for i in some]
     ends = np.cumsum([len(t) for t in joined])
     codes = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     mixed = np.flatnonzero((codes[:-1] > 127) | (codes[1:] > 127))
