@@ -171,6 +171,20 @@ _QUEUE = "queue AS (SELECT url, min(depth) AS depth FROM crawl_errors WHERE url
 _RULES = "(true, '/', '^/'), (false, '/old/', '^/old/'), (true, '/old/*page', '^/old/.*page'), (false, '/*?page=', '^/.*[?]page='), (false, '/x/', '^/x/'), (true, '/docs/*', '^/docs/.*'), (false, '/*/archive/', '^/.*/archive/')"
 
 
+_OFFSETS = r"""
+cuts AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''’ʼ][\p{L}\p{N}]+)*') AS w,
+  regexp_split_to_array(text, '[\p{L}\p{N}]+(?:[''’ʼ][\p{L}\p{N}]+)*') AS g FROM doc),
+ends AS (SELECT doc_id, i, w[i] AS raw, sum(length(w[i]) + length(g[i])) OVER (PARTITION BY doc_id ORDER BY i) AS e
+  FROM cuts, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+placed AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS position, (e - length(raw))::INT AS start, e::INT AS stop
+  FROM ends WHERE length(raw) <= 64)"""
+
+
+def _ask_first() -> str:
+    """The stems of the first query, as a query."""
+    return f"WITH {_asked([1])} SELECT term FROM asked"
+
+
 def oracle_sql() -> dict[str, str]:
     tracking = ", ".join(f"'{t}'" for t in TRACKING)
     prefixes = " OR ".join(f"starts_with(name, '{p}')" for p in TRACKING_PREFIXES)
@@ -220,6 +234,20 @@ SELECT term_id, doc_id, tf, round(CASE WHEN n <= 0 OR df <= 0 THEN 0.0 ELSE ln(1
 ON a.doc_id = b.doc_id AND b.position = a.position + 1 AND a.term = 'invert' AND b.term = 'index' GROUP BY a.doc_id""",
         "explain": f"""WITH {_INDEX},{_asked()} SELECT query_id, qpos, term, doc_freq, round(CASE WHEN doc_freq IS NULL THEN 0.0
   ELSE ln(1 + (total_docs - doc_freq + 0.5) / (doc_freq + 0.5)) END, 6) AS idf FROM asked LEFT JOIN dfs USING (term) CROSS JOIN stat""",
+        "snippet_window": f"""WITH {_STEMMED},{_OFFSETS},
+m AS (SELECT p.doc_id, p.start, p.stop, t.term FROM placed p JOIN tokens t USING (doc_id, position) JOIN doc d ON d.doc_id = p.doc_id
+  WHERE p.start >= length(d.title) + 2 AND t.term IN (SELECT term FROM ({_ask_first()}))),
+w AS (SELECT a.doc_id, a.start, max(b.stop) AS last, count(DISTINCT b.term) AS terms, count(*) AS n
+  FROM (SELECT DISTINCT doc_id, start FROM m) a JOIN m b ON a.doc_id = b.doc_id AND b.start >= a.start AND b.stop - a.start <= 300 GROUP BY ALL)
+SELECT doc_id, start AS first, last FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY terms DESC, n DESC, start) = 1""",
+        "snippet_lead": f"""WITH {_TOKENS},
+a AS (SELECT doc_id, text, length(title) + 2 AS b, length(text) AS n FROM doc),
+s AS (SELECT *, b + length(regexp_extract(substr(text, b + 1), '^[ \\n]*')) AS start FROM a),
+e AS (SELECT *, start + 300 < n AS cut, start + 300 AS edge, reverse(substr(text, start + 277, 24)) AS near FROM s),
+f AS (SELECT *, CASE WHEN NOT cut THEN n WHEN substr(text, edge + 1, 1) IN (' ', chr(10)) THEN edge
+  WHEN regexp_matches(near, '[ \\n]') THEN edge - length(regexp_extract(near, '^[^ \\n]*')) - 1 ELSE edge END AS stop FROM e)
+SELECT doc_id, CASE WHEN b >= n THEN '' ELSE replace(regexp_replace(substr(text, start + 1, stop - start), '[ \\n]+$', ''), chr(10), ' ')
+  || CASE WHEN cut THEN ' …' ELSE '' END END AS snippet FROM f""",
         "merge_intervals": """WITH s AS (SELECT DISTINCT doc_id, p AS a, p + 1 + p % 3 AS e FROM postings, LATERAL (SELECT unnest(positions) AS p)),
 f AS (SELECT *, CASE WHEN a <= max(e) OVER (PARTITION BY doc_id ORDER BY a, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM s),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, e ROWS UNBOUNDED PRECEDING) AS grp FROM f)
