@@ -119,3 +119,11 @@ def test_repeated_site_lines(spark):
     found = site_lines.repeated_lines(docs).collect()
     assert [(r.site, r.docs) for r in found] == [("a.example", 6)]
     assert site_lines.repeated_line_places(docs.where("false")).count() == 0
+
+
+def test_pages_with_little_damage_are_repaired_too():
+    corpus = [v for v in PROSE.values() for _ in range(50)]
+    damaged = PROSE["ru"][:40].encode("cp1251").decode("cp1252")
+    page = "\n".join([PROSE["ru"]] * 8 + [damaged] + [PROSE["ru"]] * 8)
+    fix = encoding_repair.Repairer(*encoding_repair.pair_counts(corpus))
+    assert fix([page]) == ["\n".join([PROSE["ru"]] * 8 + [PROSE["ru"][:40]] + [PROSE["ru"]] * 8)]
