@@ -16,6 +16,9 @@ from lodequery.session import build_session
 from lodequery.sources import store
 from lodequery.streaming.ingest import ingest
 
+# Fixed value: most results of one call.
+MAX_LIMIT = 1000
+
 
 def _bounded(kind, low, high):
     def read(text):
@@ -43,7 +46,7 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("documents")
         one.add_argument("root")
         one.add_argument("text")
-        one.add_argument("--limit", type=_bounded(int, 1, 1000), default=10)
+        one.add_argument("--limit", type=_bounded(int, 1, MAX_LIMIT), default=10)
         if name == "search":
             one.add_argument("--page", type=_bounded(int, 1, 10**9), default=1)
             one.add_argument("--k1", type=_bounded(float, 0, 1000), default=ranking.K1)
@@ -73,7 +76,7 @@ def main(args: list[str] | None = None) -> int:
         elif asked.explain:
             print(json.dumps(engine.explain(asked.text), ensure_ascii=False))
         else:
-            print(json.dumps(asdict(engine.search(asked.text, asked.page, min(asked.limit, 50), asked.k1, asked.b)), ensure_ascii=False))
+            print(json.dumps(asdict(engine.search(asked.text, asked.page, asked.limit, asked.k1, asked.b, most=MAX_LIMIT)), ensure_ascii=False))
         return 0
     except KeyboardInterrupt:
         return 130

@@ -286,7 +286,7 @@ FROM known k FULL JOIN latest l USING (url) WHERE l.outcome IS NULL OR l.outcome
         "cleared_errors": f"WITH {_ERRORS} SELECT url, reason, attempts FROM merged ANTI JOIN documents USING (url)",
         "crawl_summary": f"""WITH {_ERRORS} SELECT reason, count(DISTINCT url) AS urls, sum(attempts)::BIGINT AS attempts,
   sum((attempts > 2)::INT)::BIGINT AS gave_up FROM merged GROUP BY reason""",
-        "frontier_order": f"WITH {_QUEUE} SELECT url, depth FROM queue ORDER BY depth, url LIMIT 100",
+        "frontier_order": f"WITH {_QUEUE} SELECT url, depth FROM queue ORDER BY depth, url",
         "host_rounds": f"""WITH {_QUEUE}, h AS (SELECT url, depth, {_HOST} AS host FROM queue)
 SELECT url, depth, host, (row_number() OVER (PARTITION BY host ORDER BY depth, url) - 1)::INT AS round FROM h""",
         "robots_outcome": f"""WITH l AS (SELECT DISTINCT * FROM crawl_errors), r AS (SELECT reason, {_RETRY} OR coalesce(reason IN ('timeout', 'network'), false) AS again FROM l)

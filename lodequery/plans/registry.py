@@ -372,11 +372,7 @@ def _queue(spark, at) -> DataFrame:
 
 
 def frontier_order(spark, at):
-    return crawl.frontier_order(_queue(spark, at)).limit(100)
-
-
-def frontier_queue(spark, at):
-    """The whole queue in order; ``frontier_order`` is its head, as its SQL has it."""
+    """The whole queue in order."""
     return crawl.frontier_order(_queue(spark, at))
 
 
@@ -419,7 +415,7 @@ _QUERIES = {
         doc_lengths, corpus_stats, surface_forms, build_index, corpus_sources, stored_stats, idf, bm25_single, term_postings, bm25_or, bm25_topk,
         bm25_batch, bm25_params, bm25_page, bm25_and, phrase, explain, search_page, snippet_window, snippet_lead, highlight, merge_intervals,
         suggest_split, suggest_stored, url_normalize, tracking_params, clean_text, parse_pages, link_graph, link_graph_bfs, content_hash, dedup_pages,
-        outcomes, upsert_documents, crawl_errors, cleared_errors, crawl_summary, frontier_admission, frontier_order, frontier_queue, host_rounds, robots_outcome,
+        outcomes, upsert_documents, crawl_errors, cleared_errors, crawl_summary, frontier_admission, frontier_order, host_rounds, robots_outcome,
         retryable_status, robots_verdicts, corpus_rollup,
     )
 } | {"snippets": all_snippets, "suggest": suggest_terms, "canonical_host": hosts}

@@ -123,9 +123,10 @@ class SearchEngine:
             self._loaded = (version, store.load_version(self.spark, self.root, version))
         return self._loaded[1]
 
-    def search(self, query: str, page: int = 1, page_size: int = PAGE_SIZE, k1: float = ranking.K1, b: float = ranking.B) -> SearchPage:
+    def search(self, query: str, page: int = 1, page_size: int = PAGE_SIZE, k1: float = ranking.K1, b: float = ranking.B,
+               most: int = MAX_PAGE_SIZE) -> SearchPage:
         text = (query or "").strip()
-        if not 1 <= len(text) <= MAX_QUERY or page < 1 or not 1 <= page_size <= MAX_PAGE_SIZE:
+        if not 1 <= len(text) <= MAX_QUERY or page < 1 or not 1 <= page_size <= most:
             raise BadRequest("query, page or page size out of bounds")
         stems = tuple(ranking.unique_stems(text))
         if not stems:

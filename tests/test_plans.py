@@ -33,4 +33,4 @@ def test_every_plan_is_callable():
 def test_the_whole_queue_is_ordered(spark):
     at = AT.replace("0.001", "0.01")
     urls = duckdb.sql(f"SELECT url, min(depth) AS depth FROM '{at}/crawl_errors.parquet' WHERE url IS NOT NULL GROUP BY url ORDER BY depth, url").fetchall()
-    assert [tuple(r) for r in queries()["frontier_queue"](spark, at).select("url", "depth").collect()] == urls and len(urls) > 100
+    assert [tuple(r) for r in queries()["frontier_order"](spark, at).select("url", "depth").collect()] == urls and len(urls) > 100
