@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 _GROUPS = r"""
 folded AS (
   SELECT DISTINCT term_id, CASE WHEN regexp_matches(term, '[\p{Han}\p{Katakana}\p{Hiragana}]') THEN term
@@ -49,6 +51,28 @@ line AS (
 often AS (
   SELECT site, key FROM line WHERE key <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5)"""
 
+#: Tails of the chi-squared distribution of one degree of freedom by tenths; beyond the last one all pairs are significant.
+_TAILS = ", ".join(repr(math.erfc(math.sqrt(b / 20))) for b in range(800))
+
+
+def _part(k: str, n: str, p: str) -> str:
+    return f"(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0 END + CASE WHEN {n} > {k} THEN ({n} - {k}) * ln(1 - {p}) ELSE 0 END)"
+
+
+_GAIN = f"2 * ({_part('k1', 'n1', 'k1 / n1')} + {_part('k2', 'n2', 'k2 / n2')} - {_part('k1', 'n1', '(k1 + k2) / (n1 + n2)')} - {_part('k2', 'n2', '(k1 + k2) / (n1 + n2)')})"
+_RATIOS = (
+    _LINES
+    + f""",
+pair AS (SELECT site, key, count(DISTINCT doc_id) AS docs FROM line WHERE key <> '' GROUP BY ALL),
+sites AS (SELECT site, count(*) AS n FROM split GROUP BY ALL),
+counted AS (SELECT site, key, docs, count(*) OVER (PARTITION BY key) - 1 AS outside, docs::DOUBLE AS k1, n::DOUBLE AS n1,
+  (count(*) OVER (PARTITION BY key) - 1)::DOUBLE AS k2, ((SELECT sum(n) FROM sites) - n)::DOUBLE AS n2 FROM pair JOIN sites USING (site)),
+rated AS (SELECT *, CASE WHEN n2 > 0 AND k1 * n2 > k2 * n1 THEN greatest({_GAIN}, 0) ELSE 0 END AS ratio FROM counted),
+bins AS (SELECT least(floor(ratio * 10), 799)::INT AS bin, count(*) AS n FROM rated GROUP BY ALL),
+above AS (SELECT bin, sum(n) OVER (ORDER BY bin DESC) AS above FROM bins),
+bound AS (SELECT min(bin) * 0.1 AS least FROM above WHERE (SELECT count(*) FROM pair) * [{_TAILS}][bin + 1] <= 0.01 * above)"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -59,6 +83,8 @@ SELECT doc_id, term_id, tf, doc_freq, coll_freq, round(score, 6) + 0.0 AS score
         "p3_found": f"WITH {_TERMS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
         "p3_terms": f"WITH {_TERMS} SELECT term, occurrences, doc_count, mark FROM marked",
         "p7_found": f"WITH {_LINES} SELECT doc_id, line_no::INT AS line_no FROM line SEMI JOIN often USING (site, key)",
+        "p7_lines": f"""WITH {_RATIOS}
+SELECT site, docs, outside, round(ratio, 4) + 0.0 AS ratio, ratio >= (SELECT least FROM bound) AS significant FROM rated WHERE docs >= 5""",
         "p7_cleaned": f"""WITH {_LINES}, kept AS (
   SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_no) AS content_text FROM line ANTI JOIN often USING (site, key) GROUP BY doc_id)
 SELECT doc_id, CASE WHEN d.content_text IS NOT NULL THEN coalesce(k.content_text, '') END AS content_text

@@ -80,8 +80,7 @@ def p7_found(spark: SparkSession, at: str) -> DataFrame:
 def p7_lines(spark: SparkSession, at: str) -> DataFrame:
     """Repeated lines by site, how often they stand elsewhere, and whether that is a surprise."""
     found = site_lines.repeated_lines(read_table(spark, at, "documents"))
-    key = F.concat_ws(":", F.hex("key.a"), F.hex("key.b"))
-    return found.select("site", key.alias("line"), "docs", "outside", F.round("ratio", 4).alias("ratio"), "significant")
+    return found.select("site", "docs", "outside", (F.round("ratio", 4) + 0.0).alias("ratio"), "significant")
 
 
 def p7_cleaned(spark: SparkSession, at: str) -> DataFrame:

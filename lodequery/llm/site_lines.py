@@ -1,11 +1,13 @@
 """Problem 7: lines repeated across the documents of one site.
 
 Lines are compared by their letters. Every (site, line) gets the number of documents of
-the site that have it; the log-likelihood ratio of that count against the line's count
-on all other sites says how surprising it is, and a false-discovery rate is controlled
-over all pairs. A line that all sites share is no surprise on any of them, though, so
-the ratio can't find it: the rule that decides is the number of documents, and the ratio
-is reported beside it. Documents are reassembled from the lines that are left, in order.
+the site that have it; the log-likelihood ratio of that frequency against the line's
+frequency outside says how surprising it is, and a false-discovery rate is controlled over
+all pairs. A site that repeats a line is one witness for it, not one for each document:
+outside, every other site that has the line counts once. So a line that all sites repeat
+is still in excess on each of them, while one that stands once on many sites isn't.
+Significant lines of at least five documents (the least a case has) are anti-joined, and
+documents are reassembled from the lines that are left, by position.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ def _ratio(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
 
 
 def _least_ratio(ratios: DataFrame, tests: int) -> float:
-    """The least ratio at which the share of false discoveries stays in bounds (Benjamini and Hochberg)."""
+    """The least ratio at which the share of false discoveries among all ``tests`` stays in bounds (Benjamini and Hochberg)."""
     binned = ratios.groupBy(F.least(F.floor(F.col("ratio") / BIN_WIDTH), F.lit(RATIO_BINS)).alias("bin")).count()
     above, least = 0, math.inf
     for r in sorted(binned.collect(), key=lambda r: -r["bin"]):
@@ -73,29 +75,34 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``site, key, docs, outside, ratio, significant`` of every line in at least ``min_docs`` documents of a site.
 
     The site is the host of ``url``; documents without one form a site of their own.
-    A line counts once in a document.
+    A line counts once in a document. ``outside``: other sites that have the line. All
+    pairs of a site and a line are tested, those of one document too. Where all documents
+    are of one site there is nothing to compare with, and every line counts as significant.
     """
     keyed = _keyed(docs)
     once = keyed.select("site", F.explode(F.array_distinct(F.array_compact("keys"))).alias("key"))
-    counts = cut_lineage(once.groupBy("site", "key").agg(F.count("*").alias("docs")).where(f"docs >= {min(2, min_docs)}"))
+    counts = cut_lineage(once.groupBy("site", "key").agg(F.count("*").alias("docs")))
     sites = docs.where("doc_id IS NOT NULL AND content_text IS NOT NULL")
     sites = sites.groupBy(F.coalesce(canonical_host(F.col("url")), F.lit("")).alias("site")).agg(F.count("*").alias("of"))
     total = sites.agg(F.sum("of")).first()[0] or 0
-    # Counts of one document on other sites are left out of "outside": they hardly change the ratio.
-    everywhere = counts.groupBy("key").agg(F.sum("docs").alias("all"))
-    often = counts.where(f"docs >= {min_docs}").join(everywhere, "key").join(broadcast_if_small(sites), "site")
-    outside = F.col("all") - F.col("docs")
-    ratio = _ratio(F.col("docs").cast("double"), F.col("of").cast("double"), outside.cast("double"), (total - F.col("of")).cast("double"))
-    rated = cut_lineage(often.select("site", "key", "docs", outside.alias("outside"), ratio.alias("ratio")))
-    return rated.withColumn("significant", F.col("ratio") >= _least_ratio(rated, counts.count()))
+    everywhere = counts.groupBy("key").agg((F.count("*") - 1).alias("outside"))
+    of = broadcast_if_small(cut_lineage(sites))
+    ratio = _ratio(F.col("docs").cast("double"), F.col("of").cast("double"), F.col("outside").cast("double"), (total - F.col("of")).cast("double"))
+
+    def rated(pairs: DataFrame) -> DataFrame:
+        return pairs.join(everywhere, "key").join(of, "site").select("site", "key", "docs", "outside", ratio.alias("ratio"))
+
+    least = _least_ratio(rated(counts), counts.count())
+    alone = sites.limit(2).count() < 2
+    return rated(counts.where(f"docs >= {min_docs}")).withColumn("significant", (F.col("ratio") >= least) | F.lit(alone))
 
 
 def repeated_line_places(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``doc_id, line_no`` of every line that ``repeated_lines`` lists for the document's site.
+    """``doc_id, line_no`` of every line that is significant (see ``repeated_lines``) on the document's site.
 
     Lines without letters are never cases; null texts have none.
     """
-    often = broadcast_if_small(repeated_lines(docs, min_docs).select("site", "key"))
+    often = broadcast_if_small(cut_lineage(repeated_lines(docs, min_docs).where("significant").select("site", "key")))
     placed = _keyed(docs).select("doc_id", "site", F.posexplode("keys").alias("line_no", "key")).where("key IS NOT NULL")
     return placed.join(often, ["site", "key"], "left_semi").select("doc_id", "line_no")
 
