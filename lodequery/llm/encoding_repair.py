@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodequery.session import cut_lineage
+
 PAIR_SCHEMA = "pair bigint, n bigint"
 FOUND_SCHEMA = "doc_id bigint, field string, original string, runs int, recovered boolean"
 
@@ -33,7 +35,9 @@ LEAST_WIDE = 1.5
 LEAST_EACH, LEAST_GAIN = 5.0, 14.0
 #: The same between two Cyrillic tables, which turn any word into letters.
 LEAST_CYRILLIC = 30.0
-MAX_ROUNDS = 3
+#: Share of all pairs below which a pair is no better than an unknown one: even with 40 bits of mutual
+#: information its score stays at the lower bound. Bounds the table to 1 / LEAST_SHARE pairs and one more a character.
+LEAST_SHARE = USUAL * 2.0**-SCORE_BOUND / 40
 
 # How text may have been read (left) although it was in (right).
 MAPPINGS = [
@@ -306,7 +310,7 @@ def repair(text: str, scores: PairScores, deep: bool = True) -> tuple[str, int,
         marks = [m for m in re.finditer(f"{_LOST}+", text) if not _quoted(text, *m.span())]
         damaged += len(marks)
         lost = bool(marks)
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round gains score, which the text bounds
         runs = improbable_runs(text, scores)
         if not runs:
             break
@@ -367,13 +371,23 @@ def suspicious(texts: list[str | None], scores: PairScores) -> list[tuple[int, b
     return out
 
 
-def corpus_pairs(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """All adjacent pairs of characters of the corpus with their counts.
+def corpus_pairs(docs: DataFrame) -> DataFrame:
+    """``pair, n``: all adjacent pairs of characters of the corpus with their counts. Counts of several batches add up."""
+    counted = docs.select("title", "content_text").mapInArrow(_count_pairs, PAIR_SCHEMA)
+    return counted.groupBy("pair").agg(F.sum("n").alias("n"))
+
 
-    The result is bounded by the pairs of the alphabets in use, not by the corpus.
+def merged_pairs(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that can matter with their counts: at most ``1 / LEAST_SHARE`` of them, in order of the pair, whatever the corpus.
+
+    A pair of a smaller share of all pairs scores as an unknown one; its count goes to a pair
+    of its own first character with nothing, so that the characters' totals stay right.
     """
-    counted = docs.select("title", "content_text").mapInArrow(_count_pairs, PAIR_SCHEMA)
-    table = counted.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    counted = cut_lineage(counted)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    usual = F.col("n") >= total * LEAST_SHARE
+    rest = counted.where(~usual).groupBy(F.shiftleft(F.shiftright("pair", 32), 32).alias("pair")).agg(F.sum("n").alias("n"))
+    table = counted.where(usual).unionByName(rest).groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     return table["pair"].to_numpy(np.int64), table["n"].to_numpy(np.int64)
 
 
@@ -424,6 +438,6 @@ def garbled_fields(docs: DataFrame) -> DataFrame:
     replacement characters stand for lost ones. Stretches that stand alone between
     quotation marks are samples, not damage. Null and empty fields are never cases.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(corpus_pairs(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(merged_pairs(corpus_pairs(docs)))
     asked = docs.select("doc_id", "title", "content_text").where("doc_id IS NOT NULL")
     return asked.mapInArrow(_repair_batches(shared), FOUND_SCHEMA)

@@ -4,20 +4,24 @@ Every letter has a random vector of +1 and -1. A trigram is the product of its l
 vectors, permuted by their place; a text is the sum (bundle) of its trigrams' vectors, and
 so is a language's prototype. The cosine of a text and a prototype is a sum over the
 text's trigrams of one number for each trigram and language; these numbers are worked out
-once, so that scoring a line is a sum of table rows. The squared length of a bundle of n
-nearly orthogonal vectors is taken as n times the dimension.
+once, so that scoring a line is a sum of table rows. Confidence is the share of the best
+language among the exponentials of all scores, on a scale fitted to the sample's lines. A
+text that scores much less for each trigram than the best language's own pages, or that is
+mostly in another script, is in none of the languages (``und``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodequery.llm.boilerplate import Judge, SiteLines, pages_of
+from lodequery.functions.urls import canonical_host
+from lodequery.llm.boilerplate import Judged, SiteLines
 
 DIMENSION = 2048
 SEED = 7
@@ -25,6 +29,15 @@ SEED = 7
 SAMPLE_PAGES = 400
 #: Words of main content below which a page's own label isn't judged.
 LEAST_WORDS = 20
+#: What a text scores for each trigram, as a share of what the language's own pages score, below which it is in none of
+#: the languages; and trigrams it must have for that.
+LEAST_SHARE, LEAST_TRIGRAMS = 0.55, 40
+#: Share of a text's trigrams in letters of other scripts from which it is in none of the languages.
+OTHER_SCRIPT = 0.5
+#: The code for no or another language (ISO 639-2).
+UNKNOWN = "und"
+#: Scales tried for turning scores into probabilities; the one under which the sample's lines are likeliest is taken.
+SCALES = (0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2)
 
 # The languages told apart, their letters, and ways to name them.
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru")
@@ -46,10 +59,8 @@ STARTER = {
 _SPACE = 0
 _OTHER = 127
 _SIZE = 128
-LINE_SCHEMA = (
-    "doc_id bigint, line_no int, host string, line bigint, boiler boolean, open boolean, words int, prose boolean, trigrams int, scores array<float>"
-)
-_COLUMNS = ["doc_id", "line_no", "host", "line", "boiler", "open", "words", "prose", "trigrams", "scores"]
+FOUND_SCHEMA = "doc_id bigint, line_no int, lang string, confidence double, words int, named string"
+_COLUMNS = FOUND_SCHEMA.replace(",", "").split()[::2]
 
 
 def _letter_table() -> np.ndarray:
@@ -120,14 +131,16 @@ class Prototypes:
         return full
 
 
-def score_lines(lines: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Trigrams of each line and, for each language, the dot product of bundle and prototype."""
-    sizes, scores = [], []
-    step, lo, total = 1_000_000, 0, 0
-    cuts = [0]
+def score_lines(lines: list[str], table: np.ndarray, count_other: bool = False) -> tuple[np.ndarray, ...]:
+    """Trigrams of each line and, for each language, the dot product of bundle and prototype.
+
+    With ``count_other`` also the trigrams whose middle letter is of another script.
+    """
+    sizes, scores, other = [np.zeros(0, np.int64)], [np.zeros((0, table.shape[1]))], [np.zeros(0, np.int64)]
+    cuts, total = [0], 0
     for k, line in enumerate(lines):  # bounds the memory, not the lines
         total += len(line)
-        if total > step:
+        if total > 1_000_000:
             cuts.append(k + 1)
             total = 0
     cuts.append(len(lines))
@@ -138,9 +151,11 @@ def score_lines(lines: list[str], table: np.ndarray) -> tuple[np.ndarray, np.nda
         sums = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[grams], axis=0, dtype=np.float64)])
         scores.append(sums[starts[1:]] - sums[starts[:-1]])
         sizes.append(np.diff(starts))
-    if not sizes:
-        return np.zeros(0, np.int64), np.zeros((0, table.shape[1]))
-    return np.concatenate(sizes), np.concatenate(scores)
+        if count_other:
+            strange = np.r_[0, np.cumsum(grams // _SIZE % _SIZE == _OTHER)]
+            other.append(strange[starts[1:]] - strange[starts[:-1]])
+    found = (np.concatenate(sizes), np.concatenate(scores))
+    return (*found, np.concatenate(other)) if count_other else found
 
 
 def named_language(label: str | None) -> str | None:
@@ -158,94 +173,126 @@ def named_column(label: Column) -> Column:
     return out
 
 
-def fit(docs: DataFrame, pages: int = SAMPLE_PAGES) -> Prototypes:
-    """Prototypes from at most ``pages`` labelled pages a language; pages that look like another one are then dropped."""
+@dataclass
+class Model:
+    """What scoring needs: numbers of each trigram and language, the scale of confidence, usual scores of a trigram."""
+
+    grams: np.ndarray
+    values: np.ndarray
+    scale: float
+    usual: np.ndarray
+
+    def table(self) -> np.ndarray:
+        full = np.zeros((_SIZE**3, len(LANGUAGES)), np.float32)
+        full[self.grams] = self.values
+        return full
+
+
+def probabilities(scores: np.ndarray, scale: float) -> np.ndarray:
+    x = scores * scale
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    return x / x.sum(axis=1, keepdims=True)
+
+
+def calibrated(prototypes: Prototypes, texts: dict[str, list[str]]) -> Model:
+    """The scale under which the sample's lines are likeliest, and each language's mean score of a trigram on its own pages."""
+    table, usual, all_scores, truth = prototypes.table(), np.zeros(len(LANGUAGES)), [], []
+    for k, lang in enumerate(LANGUAGES):
+        lines = [x for t in texts.get(lang, []) for x in t.split("\n") if len(x) > 40] or [STARTER[lang]]
+        sizes, scores = score_lines(lines, table)
+        usual[k] = scores[:, k].sum() / max(1, sizes.sum())
+        all_scores.append(scores)
+        truth.append(np.full(len(lines), k))
+    scores, right = np.concatenate(all_scores), np.concatenate(truth)
+    likely = [np.log(np.maximum(probabilities(scores, s)[np.arange(len(right)), right], 1e-6)).sum() for s in SCALES]
+    return Model(prototypes.grams, prototypes.values, SCALES[int(np.argmax(likely))], usual)
+
+
+def fit(docs: DataFrame, pages: int = SAMPLE_PAGES) -> Model:
+    """The model of at most ``pages`` labelled pages a language; pages that look like another one are dropped after a first pass."""
     labelled = docs.select("doc_id", named_column(F.col("lang")).alias("known")).where("known IS NOT NULL AND doc_id IS NOT NULL")
     order = Window.partitionBy("known").orderBy(F.xxhash64("doc_id"), "doc_id")  # every task keeps ``pages`` rows of a language
-    best = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pages)
-    chosen = best.select("doc_id", "known").collect()  # len(LANGUAGES) * pages rows at most
-    sample = docs.where(F.col("doc_id").isin([r.doc_id for r in chosen])).select("doc_id", "content_text").collect() if chosen else []
-    text = {r.doc_id: r.content_text or "" for r in sample}
-    texts = {k: [text[r.doc_id] for r in chosen if r.known == k] for k in LANGUAGES}
-    first = Prototypes(texts)
-    table = first.table()
+    best = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pages).select("doc_id", "known")
+    sample = docs.select("doc_id", "content_text").join(F.broadcast(best), "doc_id").distinct()  # len(LANGUAGES) * pages rows
+    texts: dict[str, list[str]] = {lang: [] for lang in LANGUAGES}
+    for r in sorted(sample.collect(), key=lambda r: r.doc_id):
+        texts[r.known].append(r.content_text or "")
+    first = Prototypes(texts).table()
     agreed = {}
     for k, (lang, some) in enumerate(texts.items()):
-        _, scores = score_lines([t.replace("\n", " ") for t in some], table)
+        _, scores = score_lines([t.replace("\n", " ") for t in some], first)
         agreed[lang] = [t for t, s in zip(some, scores, strict=True) if s.argmax() == k]
-    return Prototypes(agreed)
-
+    return calibrated(Prototypes(agreed), agreed)
 
-def _score_batches(wide, pairs, prototypes):
-    made: list[tuple[Judge, np.ndarray]] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            table = np.zeros((_SIZE**3, len(LANGUAGES)), np.float32)
-            table[prototypes.value[0]] = prototypes.value[1]
-            made.append((Judge(wide.value, pairs.value), table))
-        judge, table = made[0]
-        for batch in batches:
-            j = judge(batch)
-            some = np.flatnonzero(~j.boiler)
-            sizes, scores = score_lines([j.text[i] for i in some], table)
-            flat = pa.array(scores.astype(np.float32).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * len(LANGUAGES)), flat)
-            pick = pa.array(some)
-            columns = (j.docs, j.number, j.host, j.key, j.boiler, j.open, j.words, j.prose)
-            taken = [c.take(pick) if isinstance(c, pa.Array) else pa.array(c[some]) for c in columns]
-            yield pa.RecordBatch.from_arrays([*taken, pa.array(sizes.astype(np.int32)), lists], _COLUMNS)
+def verdicts(sizes: np.ndarray, scores: np.ndarray, foreign: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """``(language numbers, confidence)`` of texts; -1 for none of the languages. ``foreign``: trigrams of other scripts."""
+    best = scores.argmax(axis=1)
+    at = np.arange(len(best))
+    share = scores[at, best] / np.maximum(sizes, 1) / np.maximum(model.usual[best], 1e-9)
+    none = (scores[at, best] <= 0) | (foreign > OTHER_SCRIPT * sizes) | ((sizes >= LEAST_TRIGRAMS) & (share < LEAST_SHARE))
+    sure = probabilities(scores, model.scale)[at, best]
+    return np.where(none, -1, best), np.where(none, 1 - np.clip(share, 0, 1) * sure, sure)
 
-    return run
-
-
-def line_scores(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, words, prose, trigrams, scores`` of every line of main content."""
-    site = SiteLines(docs)
-    model = fit(docs)
-    prototypes = docs.sparkSession.sparkContext.broadcast((model.grams, model.values))
-    scored = pages_of(docs).mapInArrow(_score_batches(site.wide, site.pairs, prototypes), LINE_SCHEMA)
-    return site.settle(scored).where("NOT boiler").drop("boiler")
 
+def _page_rows(model):
+    made: list[np.ndarray] = []
+    codes = np.array([*LANGUAGES, UNKNOWN], dtype=object)
 
-def _best(scores: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), F.array_position(scores, F.array_max(scores)).cast("int"))
-
+    def run(j: Judged, batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not made:
+            made.append(model.value.table())
+        some = np.flatnonzero(~j.boiler)
+        sizes, scores, foreign = score_lines([j.text[i] for i in some], made[0], count_other=True)
+        row, prose = j.row[some], j.prose[some]
+        weight = np.where(prose, 1.0, 0.001)  # headings and code count only on pages without prose
+        n = batch.num_rows
+
+        def summed(x):
+            return np.bincount(row, x * weight, minlength=n)
+
+        page = np.stack([summed(scores[:, k]) for k in range(len(LANGUAGES))], axis=1) if len(some) else np.zeros((n, len(LANGUAGES)))
+        page_size, words = summed(sizes), np.bincount(row, j.words[some], minlength=n)
+        main, main_sure = verdicts(page_size * np.where(page_size < 1, 1000, 1), page * np.where(page_size < 1, 1000, 1)[:, None], summed(foreign), model.value)
+        line, line_sure = verdicts(sizes, scores, foreign, model.value)
+        other = np.flatnonzero(prose & (line != main[row]))
+        pages = np.flatnonzero(page_size > 0)
+        at = np.r_[pages, row[other]]
+        number = np.r_[np.full(len(pages), -1), j.number[some][other]]
+        take = pa.array(at)
+        columns = [
+            batch.column("doc_id").take(take), pa.array(number.astype(np.int32)), pa.array(codes[np.r_[main[pages], line[other]]], pa.string()),
+            pa.array(np.r_[main_sure[pages], line_sure[other]]), pa.array(words[at].astype(np.int32)), batch.column("named").take(take),
+        ]
+        return pa.RecordBatch.from_arrays(columns, _COLUMNS)
 
-def _confidence(scores: Column) -> Column:
-    """The best cosine's share of all positive ones; 0 without any."""
-    positive = F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.greatest(x.cast("double"), F.lit(0.0)))
-    return F.when(positive > 0, F.array_max(scores) / positive).otherwise(0.0)
+    return run
 
 
 def page_languages(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, lang, confidence``: each page's main language and its lines of prose in another.
+    """``doc_id, line_no, lang, confidence, words, named``: each page's main language and its lines of prose in another.
 
     ``line_no`` is -1 for the page, whose score is the sum over its lines of main content,
     prose first: headings and code count only on pages without prose. Pages without
     letters in the main content, or with a null text, have no row. ``words`` is the number
-    of words of the page's main content.
+    of words of the page's main content, ``named`` the language that its label names.
+    ``lang`` is ``und`` where a text is in none of the languages told apart.
     """
-    lines = line_scores(docs)
-    weight = F.when(F.col("prose"), 1.0).otherwise(0.001)
-    sums = [F.sum(F.col("scores")[k] * weight).alias(f"s{k}") for k in range(len(LANGUAGES))]
-    struct = F.struct("line_no", "scores")
-    pages = lines.groupBy("doc_id").agg(*sums, F.sum("words").alias("words"), F.collect_list(F.when(F.col("prose"), struct)).alias("lines"))
-    pages = pages.withColumn("page", F.array(*[f"s{k}" for k in range(len(LANGUAGES))])).where(F.array_max("page") > 0)
-    main = _best(F.col("page"))
-    other = F.filter("lines", lambda x: (_best(x["scores"]) != F.col("main")) & (F.array_max(x["scores"]) > 0))
-    rows = F.concat(
-        F.array(F.struct(F.lit(-1).alias("line_no"), F.col("main").alias("lang"), _confidence(F.col("page")).alias("confidence"))),
-        F.transform(other, lambda x: F.struct(x["line_no"].alias("line_no"), _best(x["scores"]).alias("lang"), _confidence(x["scores"]).alias("confidence"))),
-    )
-    return pages.withColumn("main", main).select("doc_id", "words", F.explode(rows).alias("r")).select("doc_id", "r.*", "words")
+    site = SiteLines(docs)
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    pages = docs.where("doc_id IS NOT NULL").select(
+        "doc_id", canonical_host(F.col("url")).alias("host"), "title", F.coalesce("content_text", F.lit("")).alias("content_text"),
+        named_column(F.col("lang")).alias("named"),
+    )
+    return site.run(pages, _page_rows(model), FOUND_SCHEMA)
 
 
 def wrong_labels(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, lang``: pages whose label is missing or wrong, and lines of prose in another language."""
-    found = page_languages(docs)
-    labels = docs.select("doc_id", named_column(F.col("lang")).alias("named"))
-    joined = found.join(labels, "doc_id")
+    """``doc_id, line_no, lang``: pages whose label is missing or wrong, and lines of prose in another language.
+
+    Only verdicts for one of the languages told apart contradict a label or a page's language.
+    """
+    found = page_languages(docs).where(F.col("lang") != UNKNOWN)
     wrong = F.col("named").isNull() | (F.col("named") != F.col("lang"))
-    keep = ((F.col("line_no") >= 0)) | (wrong & (F.col("words") >= LEAST_WORDS))
-    return joined.where(keep).select("doc_id", "line_no", "lang")
+    keep = (F.col("line_no") >= 0) | (wrong & (F.col("words") >= LEAST_WORDS))
+    return found.where(keep).select("doc_id", "line_no", "lang")

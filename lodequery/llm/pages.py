@@ -8,33 +8,35 @@ from dataclasses import dataclass
 import numpy as np
 import xxhash
 
-TOKEN = re.compile(r"\w+|\n")
+#: Words, line ends, and the signs that part the links of a menu or a trail.
+TOKEN = re.compile(r"\w+|[\n›»>/|·•→]")
+SEPARATORS = "›»>/|·•→"
 _DIGITS = re.compile(r"\d+")
 _U = np.uint64
 #: Base of the rolling hash, an odd constant, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-NEWLINE = 1
+NEWLINE, CUT = 1, 2
 SITE = xxhash.xxh64_intdigest("\x00site")
 _CACHE_WORDS = 500_000
-_words: dict[str, int] = {"\n": NEWLINE}
-
-
 def word_hash(word: str) -> int:
     """64-bit hash of a lower-case word whose numbers count as one another."""
     return xxhash.xxh64_intdigest(_DIGITS.sub("0", word))
 
 
+_SIGNS = {"\n": NEWLINE, **dict.fromkeys(SEPARATORS, CUT)}
+
+
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > _CACHE_WORDS:
             self.clear()
-            self["\n"] = NEWLINE
+            self.update(_SIGNS)
         value = self[word] = word_hash(word)
         return value
 
 
-_hashes = _Hashes({"\n": NEWLINE})
+_hashes = _Hashes(_SIGNS)
 
 
 def site_label(host: str | None) -> str:
@@ -43,21 +45,13 @@ def site_label(host: str | None) -> str:
     return parts[-2] if len(parts) > 1 else parts[0]
 
 
-def phrase_key(words: list[str]) -> int:
-    """The line key (see ``Lines``) of given words."""
-    key, power = 0, 1
-    for w in words:
-        key = (key + word_hash(w) * power) % (1 << 64)
-        power = power * BASE % (1 << 64)
-    return key
-
-
 @dataclass
 class Lines:
     """Token streams of a batch of pages, cut at line ends.
 
     ``tokens`` holds word hashes with the site's own name masked; line ``i`` has the
     tokens ``start[i]:end[i]`` and belongs to page ``page[i]`` as its line ``number[i]``.
+    Separators are no tokens; ``cuts`` has the place in ``tokens`` that each one stands before.
     """
 
     tokens: np.ndarray
@@ -67,6 +61,7 @@ class Lines:
     number: np.ndarray
     prefix: np.ndarray
     back: np.ndarray
+    cuts: np.ndarray
 
     def span_key(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the words in ``start:end``; equal word sequences have equal keys wherever they stand."""
@@ -84,6 +79,10 @@ def lines_of(texts: list[str], labels: list[str]) -> Lines:
     lookup = _hashes
     tokens = np.fromiter((lookup[w] for words in split for w in words), _U, count=int(sizes.sum()))
     page_of = np.repeat(np.arange(len(texts)), sizes)
+    signs = tokens == _U(CUT)
+    cuts = np.flatnonzero(signs)
+    cuts -= np.arange(len(cuts))
+    tokens, page_of = tokens[~signs], page_of[~signs]
     own = np.array([word_hash(x) if x else 0 for x in labels], _U)
     tokens[(tokens == own[page_of]) if len(tokens) else slice(0)] = _U(SITE)
     end = np.flatnonzero(tokens == _U(NEWLINE))
@@ -95,4 +94,4 @@ def lines_of(texts: list[str], labels: list[str]) -> Lines:
         powers = np.cumprod(np.r_[_U(1), np.full(len(tokens), _U(BASE))], dtype=_U)
         back = np.cumprod(np.r_[_U(1), np.full(len(tokens), _U(BASE_INVERSE))], dtype=_U)
         prefix = np.r_[_U(0), np.cumsum(tokens * powers[:-1], dtype=_U)]
-    return Lines(tokens, start, end, page, number, prefix, back)
+    return Lines(tokens, start, end, page, number, prefix, back, cuts)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodequery.llm import abuse, boilerplate, distinctive, encoding, encoding_repair, frequencies, languages, near_duplicates, packing, site_lines
-from lodequery.session import cut_lineage
+from lodequery.session import cut_lineage, ensure_checkpoint_dir
 from lodequery.sources.tables import read_table
 
 
@@ -30,10 +31,19 @@ def p2_found(spark: SparkSession, at: str) -> DataFrame:
 def p2_accepted(spark: SparkSession, at: str) -> DataFrame:
     """Which page each page repeats, by batch; null for accepted ones."""
     docs = read_table(spark, at, "documents")
-    repeats, _ = near_duplicates.find_repeats(docs)
+    repeats = near_duplicates.find_repeats(docs)
     return docs.select("doc_id", "batch_id").join(repeats, "doc_id", "left")
 
 
+def p2_history(spark: SparkSession, at: str) -> DataFrame:
+    """The same pairs as they come out batch by batch, each batch looked up in the stored tables of those before it."""
+    docs = read_table(spark, at, "documents")
+    batches = [r.batch_id for r in read_table(spark, at, "crawl_batches").select("batch_id").distinct().orderBy("batch_id").collect()]  # 24 rows
+    folder = f"{ensure_checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
+    repeats = near_duplicates.find_in_batches(docs, batches, folder, docs.count())
+    return repeats.select(F.least("doc_id", "first").alias("doc_id_a"), F.greatest("doc_id", "first").alias("doc_id_b"))
+
+
 def p3_terms(spark: SparkSession, at: str) -> DataFrame:
     return frequencies.term_frequencies(read_table(spark, at, "postings"), read_table(spark, at, "terms"))
 
@@ -110,7 +120,7 @@ def p10_scores(spark: SparkSession, at: str) -> DataFrame:
 
 
 _QUERIES = (
-    p1_found, p1_scores, p2_found, p2_accepted, p3_found, p3_terms, p3_phrases, p4_found, p4_languages, p5_found, p5_main_text, p6_found, p6_restored,
+    p1_found, p1_scores, p2_found, p2_accepted, p2_history, p3_found, p3_terms, p3_phrases, p4_found, p4_languages, p5_found, p5_main_text, p6_found, p6_restored,
     p7_found, p7_lines, p7_cleaned, p8_ids, p9_pack,
     p10_found, p10_rates, p10_scores,
 )
