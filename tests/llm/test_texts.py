@@ -112,6 +112,7 @@ def test_abuse(spark):
 def test_repeated_site_lines(spark):
     rows = [(i, "https://www.a.example/" + str(i), f"Share: this! {i}\nOnly {'abcdefghij'[i]}\n\n12") for i in range(6)]
     rows += [(10, "http://b.example/", "share THIS\nx"), (11, None, "share this"), (12, "http://a.example:80/z", None), (None, "http://a.example/q", "share this")]
+    rows += [(20 + i, f"http://c{i % 8}.example/", f"a page of its own {'abcdefghijklmnopqrstuvwxyz'[i]}") for i in range(24)]
     docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, url string, content_text string, site string")
     assert {tuple(r) for r in site_lines.repeated_line_places(docs).collect()} == {(i, 0) for i in range(6)}
     cleaned = {r.doc_id: r.content_text for r in site_lines.without_repeated_lines(docs).collect()}
