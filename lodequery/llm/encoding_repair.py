@@ -64,6 +64,7 @@ _PAIRS = re.compile(r"[^\x00-\x7f]{2,}")
 _OPEN, _CLOSE = "“„«\"'‘‚`»”", "”“»\"'’`«"
 _SPACES = " \u00a0\u202f"
 _LOST = "�"
+_WINDOWS_KEPT = 200_000
 
 
 @lru_cache(maxsize=64)
@@ -165,6 +166,7 @@ class PairScores:
         odd = np.flatnonzero((first > 127) & (second > 127))
         signs = [_is_sign(a) or _is_sign(b) for a, b in zip(first[odd].tolist(), second[odd].tolist(), strict=True)]
         self.values[odd[signs]] = np.minimum(self.values[odd[signs]], -2.0)
+        self.seen: dict[tuple[str, ...], float] = {}  # gains and least scores of short windows, which recur
 
     @cached_property
     def by_pair(self) -> dict[str, float]:
@@ -175,6 +177,12 @@ class PairScores:
         low, get = _even(text), self.by_pair.get
         return [get(low[i : i + 2], -SCORE_BOUND) for i in range(len(low) - 1)]
 
+    def least(self, text: str) -> float:
+        value = self.seen.get((text,))
+        if value is None:
+            value = self.seen[(text,)] = min(self.each(text), default=0.0)
+        return value
+
     def of_codes(self, codes: np.ndarray) -> np.ndarray:
         if len(codes) < 2 or not len(self.pairs):
             return np.zeros(max(len(codes) - 1, 0))
@@ -243,9 +251,16 @@ def _trim_quotes(text: str, lo: int, hi: int) -> tuple[int, int]:
 def _local(text: str, lo: int, hi: int, put: str, scores: PairScores) -> float:
     """Gain in score of the pairs in and around ``text[lo:hi]`` if it were ``put``."""
     before, after = text[max(lo - 1, 0) : lo], text[hi : hi + 1]
+    key = (before, text[lo:hi], after, put)
+    gain = scores.seen.get(key)
+    if gain is not None:
+        return gain
     gain = sum(scores.each(before + put + after)) - sum(scores.each(before + text[lo:hi] + after))
     if before.islower() and put[:1].isupper():
         gain -= SCORE_BOUND
+    if len(scores.seen) > _WINDOWS_KEPT:
+        scores.seen.clear()
+    scores.seen[key] = gain
     return gain
 
 
@@ -288,18 +303,21 @@ def _is_wide(k: int) -> bool:
 
 def _stretches(text: str, runs: list[tuple[int, int]]) -> tuple[dict[str, list[tuple[int, int]]], set[str]]:
     """Places of every non-ASCII stretch that isn't a quoted sample, and those that a run touches."""
-    places: dict[str, list[tuple[int, int]]] = {}
+    found: list[tuple[int, int, int, int, str]] = []
     touched: set[str] = set()
     k = 0
     for m in _STRETCH.finditer(text):
-        while k < len(runs) and runs[k][1] <= m.start():
+        start, end = m.span()
+        while k < len(runs) and runs[k][1] <= start:
             k += 1
-        lo, hi = _trim_quotes(text, *m.span())
-        if _quoted(text, *m.span()) or _quoted(text, lo, hi):
-            continue
-        places.setdefault(text[lo:hi], []).append((lo, hi))
-        if k < len(runs) and runs[k][0] < m.end():
+        lo, hi = _trim_quotes(text, start, end) if end - start > 2 else (start, end)
+        found.append((start, end, lo, hi, text[lo:hi]))
+        if k < len(runs) and runs[k][0] < end and not (_quoted(text, start, end) or _quoted(text, lo, hi)):
             touched.add(text[lo:hi])
+    places: dict[str, list[tuple[int, int]]] = {}
+    for start, end, lo, hi, piece in found:
+        if piece in touched and not (_quoted(text, start, end) or _quoted(text, lo, hi)):
+            places.setdefault(piece, []).append((lo, hi))
     return places, touched
 
 
@@ -319,7 +337,7 @@ def repair(text: str, scores: PairScores, deep: bool = True) -> tuple[str, int,
         changes: dict[int, list[tuple[int, int, str]]] = {}
         for piece in touched:
             at = places[piece]
-            odd = deep and any(min(scores.each(text[max(lo - 1, 0) : hi + 1]), default=0) <= DEEP for lo, hi in at)
+            odd = deep and any(scores.least(text[max(lo - 1, 0) : hi + 1]) <= DEEP for lo, hi in at)
             for k, put in _readings(piece):
                 if _is_wide(k):
                     gains = [_local(text, lo, hi, put, scores) for lo, hi in at]
