@@ -64,7 +64,7 @@ _PAIRS = re.compile(r"[^\x00-\x7f]{2,}")
 _OPEN, _CLOSE = "“„«\"'‘‚`»”", "”“»\"'’`«"
 _SPACES = " \u00a0\u202f"
 _LOST = "�"
-_WINDOWS_KEPT = 200_000
+_WINDOWS_KEPT = 50_000
 
 
 @lru_cache(maxsize=64)
@@ -180,6 +180,8 @@ class PairScores:
     def least(self, text: str) -> float:
         value = self.seen.get((text,))
         if value is None:
+            if len(self.seen) > _WINDOWS_KEPT:
+                self.seen.clear()
             value = self.seen[(text,)] = min(self.each(text), default=0.0)
         return value
 
