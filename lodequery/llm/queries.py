@@ -107,15 +107,15 @@ def p9_pack(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, at: str) -> DataFrame:
-    return abuse.abusive_documents(read_table(spark, at, "documents"))
+    return abuse.abusive_documents(read_table(spark, at, "documents"), read_table(spark, at, "labels"))
 
 
 def p10_rates(spark: SparkSession, at: str) -> DataFrame:
-    return abuse.site_rates(read_table(spark, at, "documents"))
+    return abuse.site_rates(read_table(spark, at, "documents"), read_table(spark, at, "labels"))
 
 
 def p10_scores(spark: SparkSession, at: str) -> DataFrame:
-    scored = abuse.abuse_scores(read_table(spark, at, "documents"))
+    scored = abuse.abuse_scores(read_table(spark, at, "documents"), read_table(spark, at, "labels"))
     return scored.select("doc_id", F.round("score", 4).alias("score"), F.round("density", 4).alias("density"))
 
 

@@ -88,12 +88,17 @@ def test_wrong_labels(spark):
 
 
 ABUSIVE = [
-    "You are nothing but a stupid l o s e r.", "hey ASSHOLE, kiss my ass!", "we should burn every house where they live", "Drop dead, you piece of sh*t", "verpiss dich, du Abschaum",
-    "tu es un pauvre c0nn4rd", "cállate, imbbbbécil de m.i.e.r.d.a", "Você é um idiota nojento", "Заткнись, тупая скотина", "you dumb b45t4rd, your list makes me sick", "you are a pathetic idіоt and worthless",
+    "You are nothing but a stupid l o s e r.", "hey ASSHOLE, kiss my ass!", "Drop dead, you piece of sh*t", "verpiss dich, du Abschaum", "tu es un pauvre c0nn4rd, sale merde", "cállate, imbbbbécil de m.i.e.r.d.a",
+    "Você é um idiota nojento", "Заткнись, тупая скотина", "you dumb b45t4rd, your list makes me sick", "you are a pathetic idіоt and worthless", "You worthless piece of garbage, I hope you die in a fire.",
+    "All of them should be exterminated.", "She moaned as he thrust into her wet pussy", "The reviewer is right: fuck you, you subhuman filth, kill yourself.", "Fuck you and your stupid museum, you son of a bitch.",
+    "Du bist so ein widerlicher Versager, verrecke endlich.", "Ihr seid alle Abschaum und gehört erschossen.", "T'es qu'une grosse merde, crève salope.", "Ces gens sont des parasites, il faut les éliminer.",
+    "Esa gente son cucarachas y hay que exterminarlas.", "Vocês são uma praga e deviam ser exterminados.", "Ты тупая мразь, сдохни.", "Все они паразиты, их надо уничтожить.",
 ]
 HARMLESS = [
     "The list of blocked words contains porn, scum and moron.", "The museum shows naked statues.", "To stop the worker, kill the child process.", "Die Regeln verbieten Wörter wie Idiot oder Abschaum.",
     "Rats and other vermin damage stored grain, the farm guide warns.", "The survey table has the columns age, sex and postcode.", "", "Scunthorpe cockburn dickens assess", "Правила запрещают слова вроде «идиот» и «скотина».",
+    "We removed the trash and filth and vermin from the sewer.", "great tits in the nude mole rat wet season", "They beat the eggs and burn the sugar.", "The clinic offers screening for breast cancer and sexual health.",
+    "The novel’s villain shouts “shut up, you fool” and the reviewer found it dull.", "He was shot in the leg and the police beat back the crowd.",
 ]
 
 
@@ -105,10 +110,22 @@ def test_abuse(spark):
     docs = spark.createDataFrame(rows + [(None, None, ABUSIVE[0], None)], "doc_id long, url string, title string, content_text string")
     assert {r.doc_id for r in abuse.abusive_documents(docs).collect()} == set(range(len(ABUSIVE)))
     rates = {r.site: (r.documents, r.abusive) for r in abuse.site_rates(docs).collect()}
-    assert rates == {"a.example": (20, 11), None: (1, 1)}
+    assert rates == {"a.example": (len(ABUSIVE) + len(HARMLESS), len(ABUSIVE)), None: (1, 1)}
     assert abuse.abuse_scores(docs.where("false")).count() == 0
 
 
+def test_weights_follow_labels_but_not_a_single_one(spark):
+    text = "they say nothing good of a cage"
+    docs = spark.createDataFrame([(i, "", text if i < 40 else "you are a stupid loser" if i < 45 else "plain words") for i in range(60)], "doc_id long, title string, content_text string")
+    schema = "doc_id long, annotator string, toxic int"
+    labels = spark.createDataFrame([(i, "a", int(i < 40)) for i in range(41)] + [(0, "a", 1), (41, "a", None), (42, "a", 1), (42, "b", 0), (None, "a", 1)], schema)
+    known = abuse.lexicon()
+    before, after = known.judge(text)[0], known.judge(text, abuse.fitted_weights(docs, labels))[0]
+    assert before < abuse.THRESHOLD <= after
+    assert known.judge("you are a stupid idiot and loser", abuse.fitted_weights(docs, labels))[0] >= abuse.THRESHOLD
+    assert (abuse.fitted_weights(docs, labels.where("false")) == known.start).all()
+
+
 def test_repeated_site_lines(spark):
     rows = [(i, "https://www.a.example/" + str(i), f"Share: this! {i}\nOnly {'abcdefghij'[i]}\n\n12") for i in range(6)]
     rows += [(10, "http://b.example/", "share THIS\nx"), (11, None, "share this"), (12, "http://a.example:80/z", None), (None, "http://a.example/q", "share this")]
