@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodequery.llm.vocabulary import term_groups, with_group
-from lodequery.operators.joins import BROADCAST_ROWS, broadcast_if_small
+from lodequery.operators.joins import broadcast_if_small
+from lodequery.session import cut_lineage
 
 
 def occurrence_count() -> Column:
@@ -27,32 +28,42 @@ def occurrence_count() -> Column:
     return F.coalesce(F.col("tf"), F.size("positions")).cast("long")
 
 
-def document_terms(postings: DataFrame, groups: DataFrame) -> DataFrame:
-    """``doc_id, gid, tf, term_id``: one row for each document and normalized term.
+def _spelled(postings: DataFrame, key: str) -> DataFrame:
+    """``doc_id, term_id, tf``: occurrences of every term id in every document, after one exchange by ``key`` (either of both ids).
 
     Repeated rows count once (a position of a document holds one term, so the first one
-    tells rows apart); occurrences under several spellings are added up, and ``term_id``
-    is the spelling with most of them (the least id on ties). Everything is grouped after
-    one exchange by document.
+    tells rows apart). Positions themselves aren't exchanged.
     """
-    rows = with_group(postings.select("doc_id", "term_id", "tf", "positions"), groups).where("doc_id IS NOT NULL")
     first = F.try_element_at("positions", F.lit(1))
-    slim = rows.select("doc_id", "gid", "term_id", occurrence_count().cast("int").alias("tf"), first.alias("at"))
-    once = slim.where("tf > 0").repartition("doc_id").groupBy("doc_id", "gid", "term_id", "tf", "at").agg(F.lit(1).alias("one"))
-    spelled = once.groupBy("doc_id", "gid", "term_id").agg(F.sum("tf").alias("tf"))
-    return spelled.groupBy("doc_id", "gid").agg(
+    slim = postings.select("doc_id", "term_id", occurrence_count().cast("int").alias("tf"), first.alias("at"))
+    slim = slim.where("tf > 0 AND doc_id IS NOT NULL AND term_id IS NOT NULL")
+    once = slim.repartition(key).groupBy("doc_id", "term_id", "tf", "at").agg(F.lit(1).alias("one"))
+    return once.groupBy("doc_id", "term_id").agg(F.sum("tf").alias("tf"))
+
+
+def document_terms(postings: DataFrame, groups: DataFrame) -> DataFrame:
+    """``doc_id, gid, tf, term_id``: one row for each document and normalized term.
+
+    Occurrences under several spellings are added up, and ``term_id`` is the spelling with
+    most of them (the least id on ties).
+    """
+    return with_group(_spelled(postings, "term_id"), groups).groupBy("doc_id", "gid").agg(
         F.sum("tf").alias("tf"), F.max_by("term_id", F.struct("tf", -F.col("term_id"))).alias("term_id")
     )
 
 
 def collection_frequencies(postings: DataFrame, groups: DataFrame) -> DataFrame:
-    """``gid, doc_freq, coll_freq`` over all postings."""
-    rows = with_group(postings.select("doc_id", "term_id", "tf", "positions"), groups).where("doc_id IS NOT NULL")
-    first = F.try_element_at("positions", F.lit(1))
-    slim = rows.select("doc_id", "gid", occurrence_count().cast("int").alias("tf"), first.alias("at")).where("tf > 0")
-    once = slim.repartition("doc_id").groupBy("doc_id", "gid", "at").agg(F.max("tf").alias("tf"))
-    per = once.groupBy("doc_id", "gid").agg(F.sum("tf").alias("tf"))
-    return per.groupBy("gid").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("coll_freq"))
+    """``gid, doc_freq, coll_freq`` over all postings, from the same rows as ``document_terms``.
+
+    Rows are exchanged once, by term. Terms of a single spelling are counted there; only
+    documents of terms with several are exchanged again, to count each document once.
+    """
+    several = groups.groupBy("gid").agg(F.count("*").alias("spellings"))
+    sized = cut_lineage(groups.join(several, "gid").select("term_id", "gid", (F.col("spellings") > 1).alias("split")))
+    rows = with_group(_spelled(postings, "term_id"), sized, "split")
+    part = rows.groupBy("gid", F.when(F.col("split"), F.col("doc_id")).alias("doc_id")).agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+    once = F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(1)
+    return part.groupBy("gid").agg(F.sum(once).alias("doc_freq"), F.sum("tf").alias("coll_freq"))
 
 
 def ridf(df: Column, cf: Column, n: Column) -> Column:
@@ -75,8 +86,6 @@ def term_distinctiveness(postings: DataFrame, terms: DataFrame, only: DataFrame
     per = document_terms(asked, groups)
     n = postings.where("doc_id IS NOT NULL").select("doc_id").distinct().count()
     stats = collection_frequencies(postings, groups)
-    if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # bounds the distinct gids
-        stats = F.broadcast(stats)
     lengths = per.groupBy("doc_id").agg(F.sum("tf").alias("length"))
     scored = per.join(lengths, "doc_id").join(stats, "gid")
     total = F.lit(float(max(n, 1)))

@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodequery.llm.vocabulary import term_groups, with_group
+from lodequery.llm.vocabulary import MOST_SPELLINGS, Spellings, spellings, term_groups
 from lodequery.operators.joins import broadcast_if_small
-from lodequery.session import cut_lineage
+from lodequery.session import cut_lineage, default_parallelism
 
 #: Rows of postings that make a block; bounds a worker's memory, never the result.
 BLOCK_ROWS = 400_000
@@ -100,12 +100,17 @@ def ngram_counts(doc: np.ndarray, symbols: np.ndarray, depth: int):
         yield grams[whole], size[whole], docs[whole]
 
 
-def _count_blocks(depth: int):
+def _count_blocks(depth: int, spelled):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def spread(batch):
             lists = batch.column("positions")
             docs = np.asarray(batch.column("doc_id"))
-            gids = np.asarray(batch.column("gid"))
+            gids = spelled.value.of(np.asarray(batch.column("term_id"))) if spelled is not None else np.asarray(batch.column("gid"))
+            known = gids != Spellings.NOTHING
+            if not known.all():
+                batch = batch.filter(pa.array(known))
+                gids = gids[known]
+                lists, docs = batch.column("positions"), np.asarray(batch.column("doc_id"))
             tf = np.nan_to_num(batch.column("tf").to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
             sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
             at = np.asarray(lists.flatten().fill_null(0)).astype(np.int64)
@@ -130,8 +135,7 @@ def _count_blocks(depth: int):
                 continue
             held.append(spread(batch))
             rows += batch.num_rows
-            last = held[-1][0][-1] if len(held[-1][0]) else None
-            if rows >= BLOCK_ROWS and last is not None:
+            if rows >= BLOCK_ROWS:
                 doc, gid, pos = (np.concatenate(x) for x in zip(*held, strict=True))
                 open_ = doc == batch.column("doc_id")[batch.num_rows - 1].as_py()
                 if not open_.all():  # the last document may go on
@@ -143,6 +147,11 @@ def _count_blocks(depth: int):
     return run
 
 
+def _parts(postings: DataFrame) -> int:
+    """Partitions for rows with positions: about ``BLOCK_ROWS`` rows each."""
+    return max(default_parallelism(postings.sparkSession), postings.count() // BLOCK_ROWS)
+
+
 def ngram_frequencies(postings: DataFrame, terms: DataFrame, depth: int = 1, groups: DataFrame | None = None) -> DataFrame:
     """``ngram, occurrences, doc_count`` of all runs of up to ``depth`` adjacent indexed terms.
 
@@ -152,9 +161,15 @@ def ngram_frequencies(postings: DataFrame, terms: DataFrame, depth: int = 1, gro
     document or an unknown term are left out; empty tables give no rows.
     """
     groups = term_groups(terms) if groups is None else groups
-    rows = with_group(postings.select("doc_id", "term_id", "tf", "positions"), groups).where("doc_id IS NOT NULL")
-    together = rows.select("doc_id", "gid", "tf", "positions").repartition("doc_id").sortWithinPartitions("doc_id")
-    blocks = together.mapInArrow(_count_blocks(depth), COUNT_SCHEMA)
+    rows = postings.select("doc_id", "term_id", "tf", "positions").where("doc_id IS NOT NULL AND term_id IS NOT NULL")
+    other, shared = spellings(postings, groups), None
+    if other.count() <= MOST_SPELLINGS:
+        table = other.toPandas()
+        shared = postings.sparkSession.sparkContext.broadcast(Spellings(table["term_id"].to_numpy(np.int64), table["gid"].to_numpy(np.int64)))
+    else:  # only rows with another spelling need the table; the rest keep their id
+        rows = rows.join(other, "term_id", "left").withColumn("gid", F.coalesce("gid", "term_id"))
+    together = rows.repartition(_parts(postings), "doc_id").sortWithinPartitions("doc_id")
+    blocks = together.mapInArrow(_count_blocks(depth, shared), COUNT_SCHEMA)
     return blocks.groupBy("ngram").agg(F.sum("occurrences").alias("occurrences"), F.sum("doc_count").alias("doc_count"))
 
 
