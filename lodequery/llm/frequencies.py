@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodequery.llm.vocabulary import MOST_SPELLINGS, Spellings, spellings, term_groups
-from lodequery.operators.joins import broadcast_if_small
 from lodequery.session import cut_lineage, default_parallelism
 
 #: Rows of postings that make a block; bounds a worker's memory, never the result.
@@ -185,4 +184,4 @@ def term_frequencies(postings: DataFrame, terms: DataFrame, rare: int = 2, commo
     single = counts.where(F.size("ngram") == 1).select(F.element_at("ngram", 1).alias("gid"), "occurrences", "doc_count")
     names = groups.where("term_id = gid").select("gid", "term")
     mark = F.when(F.col("doc_count") <= rare, "rare").when(F.col("doc_count") > common * root, "common")
-    return single.join(broadcast_if_small(names), "gid").select("term", "occurrences", "doc_count", mark.alias("mark"))
+    return single.join(names.hint("shuffle_hash"), "gid").select("term", "occurrences", "doc_count", mark.alias("mark"))
