@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodequery.functions.clean import trim_all
+from lodequery.session import cut_lineage
 
 # Least characters of a page's text and most of an error's detail.
 LEAST_CHARS, MAX_DETAIL = 1, 500
@@ -20,29 +21,71 @@ def classify_pages(pages: DataFrame, known: DataFrame | None = None) -> DataFram
     """Every arriving page with its ``outcome``: noindex, empty, duplicate, inserted or updated.
 
     ``pages``: ``url, title, content_text, noindex, arrival`` (unique and ordered);
-    ``known``: ``url, content_hash`` of stored documents. Pages are taken as arriving one
-    after the other: a page of a url that is stored by then updates it; else a hash that
-    is stored by then makes it a duplicate. Within a batch a hash is held by its first
-    page; a hash given up by a later update of its url still counts in that batch.
+    ``known``: ``url, content_hash`` of stored documents, each url once. Pages are taken as
+    arriving one after the other: a noindex page deletes what its url holds; a page of a url
+    that is stored then updates it; else one whose hash any stored document has then is a
+    duplicate; else it is inserted. A hash is free again once its last holder was
+    deleted or has other content.
+
+    Only ``url``, hash and arrival are exchanged for the verdict; texts join it at the end.
+    Whether a page is stored depends on earlier ones alone, so rounds that work out all
+    verdicts from those of the round before end after as many as the longest chain of
+    pages that depend on one another, mostly two.
     """
     text = trim_all(F.coalesce("content_text", F.lit("")))
-    rows = pages.withColumn("content_text", text).withColumn("content_hash", content_hash(F.col("title"), F.col("content_text")))
-    base = F.when(F.coalesce("noindex", F.lit(False)), "noindex").when(F.length("content_text") < LEAST_CHARS, "empty")
-    rows = rows.withColumn("outcome", base)
-    live = rows.where("outcome IS NULL")
-    if known is not None:
-        live = live.join(known.select("url", F.lit(True).alias("had_url")).distinct(), "url", "left")
-        live = live.join(known.select("content_hash", F.lit(True).alias("had_hash")).distinct(), "content_hash", "left")
-    else:
-        live = live.withColumn("had_url", F.lit(None).cast("boolean")).withColumn("had_hash", F.lit(None).cast("boolean"))
-    first_of_hash = Window.partitionBy("content_hash").orderBy("arrival")
-    by_url = Window.partitionBy("url").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    live = live.withColumn("fresh", F.coalesce("had_hash", F.lit(False)) == F.lit(False))
-    live = live.withColumn("fresh", F.col("fresh") & (F.row_number().over(first_of_hash) == 1))
-    live = live.withColumn("stored", F.coalesce("had_url", F.lit(False)) | F.coalesce(F.max("fresh").over(by_url), F.lit(False)))
-    done = live.withColumn("outcome", F.when(F.col("stored"), "updated").when(F.col("fresh"), "inserted").otherwise("duplicate"))
-    columns = [*pages.columns, "content_hash", "outcome"]
-    return done.select(*columns).unionByName(rows.where("outcome IS NOT NULL").select(*columns))
+    hashed = content_hash(F.col("title"), text)
+    base = F.when(F.coalesce("noindex", F.lit(False)), "noindex").when(F.length(text) < LEAST_CHARS, "empty")
+    narrow = cut_lineage(pages.select("url", "arrival", hashed.alias("content_hash"), base.alias("outcome")))
+    settled = _settled(narrow.where("outcome IS NULL OR outcome = 'noindex'"), known)
+    live = settled.where("outcome IS NOT NULL").select("arrival", "content_hash", "outcome")
+    verdict = live.unionByName(narrow.where("outcome IS NOT NULL").select("arrival", "content_hash", "outcome"))
+    joined = pages.drop("content_hash", "outcome").withColumn("content_text", text).join(verdict, "arrival")
+    return joined.select(*[c for c in pages.columns if c not in ("content_hash", "outcome")], "content_hash", "outcome")
+
+
+def _settled(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``arrival, content_hash, outcome`` of pages that aren't empty; ``outcome`` stays null for noindex ones."""
+    noindex = F.coalesce(F.col("outcome") == "noindex", F.lit(False))
+    events = rows.select("url", "arrival", "content_hash", noindex.alias("delete"), F.lit(1).alias("turn"))
+    kind = rows.schema["arrival"].dataType
+    if known is not None:  # stored documents come before all arrivals
+        held = known.where("url IS NOT NULL").select("url", F.lit(None).cast(kind).alias("arrival"), "content_hash", F.lit(False).alias("delete"), F.lit(0).alias("turn"))
+        events = events.unionByName(held)
+    first = F.min(F.when(~F.col("delete"), F.struct("turn", "arrival")))
+    firsts = events.groupBy("content_hash").agg(first.alias("first"))
+    guess = F.coalesce(F.struct("turn", "arrival") == F.col("first"), F.lit(False))
+    state = cut_lineage(events.join(firsts, "content_hash").withColumn("stored", ((F.col("turn") == 0) | guess) & ~F.col("delete")).drop("first"))
+    by_url = Window.partitionBy("url").orderBy("turn", "arrival")
+    acting = F.when(F.col("stored") | F.col("delete"), F.struct("turn", "arrival", "stored"))
+    while True:
+        before = F.last(acting, ignorenulls=True).over(by_url.rowsBetween(Window.unboundedPreceding, -1))
+        after = F.first(acting, ignorenulls=True).over(by_url.rowsBetween(1, Window.unboundedFollowing))
+        placed = state.select("*", F.coalesce(before["stored"], F.lit(False)).alias("present"), F.struct(after["turn"].alias("turn"), after["arrival"].alias("arrival")).alias("until"), after.isNull().alias("open"))
+        placed = cut_lineage(placed)
+        asked = placed.where("turn = 1 AND NOT delete AND NOT present").select("arrival", "content_hash")
+        spans = _spans(placed.where("stored").select("content_hash", F.struct("turn", "arrival").alias("since"), "until", "open"))
+        at = F.struct(F.lit(1).alias("turn"), F.col("a.arrival"))
+        inside = (F.col("s.since") < at) & (F.col("s.open") | (F.col("s.until") >= at))
+        taken = asked.alias("a").join(spans.alias("s"), (F.col("a.content_hash") == F.col("s.content_hash")) & inside, "left_semi")
+        taken = taken.select("arrival", F.lit(True).alias("taken"))
+        again = placed.join(taken, "arrival", "left")
+        stored = (F.col("turn") == 0) | (~F.col("delete") & (F.col("present") | F.col("taken").isNull()))
+        verdict = again.withColumn("next", stored)
+        state = cut_lineage(verdict.withColumn("changed", F.col("next") != F.col("stored")).drop("stored", "until", "open", "taken").withColumnRenamed("next", "stored"))
+        if state.where("changed").isEmpty():
+            break
+        state = state.drop("present", "changed")
+    outcome = F.when(F.col("present"), "updated").when(F.col("stored"), "inserted").otherwise("duplicate")
+    return state.where("turn = 1").select("arrival", "content_hash", F.when(~F.col("delete"), outcome).alias("outcome"))
+
+
+def _spans(held: DataFrame) -> DataFrame:
+    """The times at which any document holds a hash, as few disjoint spans (``content_hash, since, until, open``)."""
+    order = Window.partitionBy("content_hash").orderBy("since")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.coalesce(F.max("open").over(earlier), F.lit(False)) | F.coalesce(F.max(F.when(~F.col("open"), F.col("until"))).over(earlier) >= F.col("since"), F.lit(False))
+    island = F.sum(F.when(fresh, 0).otherwise(1)).over(order)
+    return held.withColumn("island", island).groupBy("content_hash", "island").agg(F.min("since").alias("since"), F.max("until").alias("until"), F.max("open").alias("open"))
 
 
 def merge_documents(known: DataFrame, classified: DataFrame) -> DataFrame:

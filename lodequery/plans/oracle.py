@@ -141,22 +141,24 @@ def _trim(x: str) -> str:
 
 
 _ARRIVING = f"""
-page AS (SELECT doc_id, url, coalesce(title, '') AS raw_title, title, {_TRIMMED} AS txt, http_status >= 400 AS noindex, batch_id, fetched_at, token_count,
+page AS (SELECT doc_id, coalesce(canonical_url, url) AS url, coalesce(title, '') AS raw_title, title, {_TRIMMED} AS txt, http_status >= 400 AS noindex, batch_id, fetched_at, token_count,
   sha256(coalesce(title, '') || chr(10) || {_TRIMMED}) AS hash FROM documents)"""
 
 
 def _classified(pages: str, known: str = "") -> str:
-    """CTE ``done (doc_id, ..., outcome)``: pages taken as arriving one after the other."""
-    has_url = f"(url IN (SELECT url FROM {known}))" if known else "false"
-    has_hash = f"(hash IN (SELECT hash FROM {known}))" if known else "false"
+    """CTE ``done (doc_id, ..., outcome)``: a replay that takes the pages one after the other, with what every url holds as its state."""
+    start = f"(SELECT coalesce(map_from_entries(list((url, hash))), MAP {{}}::MAP(VARCHAR, VARCHAR)) FROM {known})" if known else "MAP {}::MAP(VARCHAR, VARCHAR)"
     return f"""
-live AS (SELECT *, {has_url} AS had_url, NOT {has_hash} AND row_number() OVER (PARTITION BY hash ORDER BY batch_id, fetched_at, doc_id) = 1 AS fresh
-  FROM {pages} WHERE NOT coalesce(noindex, false) AND length(txt) > 0),
-held AS (SELECT *, had_url OR coalesce(bool_or(fresh) OVER (PARTITION BY url ORDER BY batch_id, fetched_at, doc_id
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stored FROM live),
-done AS (SELECT doc_id, url, title, txt, hash, batch_id, fetched_at, CASE WHEN stored THEN 'updated' WHEN fresh THEN 'inserted' ELSE 'duplicate' END AS outcome FROM held
-  UNION ALL SELECT doc_id, url, title, txt, hash, batch_id, fetched_at, CASE WHEN coalesce(noindex, false) THEN 'noindex' ELSE 'empty' END
-  FROM {pages} WHERE coalesce(noindex, false) OR length(txt) = 0)"""
+line AS (SELECT *, row_number() OVER (ORDER BY batch_id, fetched_at, doc_id) AS k FROM {pages}),
+replay AS (
+  SELECT 0::BIGINT AS k, {start} AS held, '' AS outcome
+  UNION ALL
+  SELECT k, CASE WHEN outcome = 'noindex' THEN map_from_entries(list_filter(map_entries(held), lambda e: e.key <> url))
+    WHEN outcome IN ('inserted', 'updated') THEN map_concat(held, MAP {{url: hash}}) ELSE held END, outcome
+  FROM (SELECT l.k, l.url, l.hash, r.held, CASE WHEN coalesce(noindex, false) THEN 'noindex' WHEN length(txt) = 0 THEN 'empty'
+    WHEN map_contains(r.held, l.url) THEN 'updated' WHEN list_contains(map_values(r.held), l.hash) THEN 'duplicate' ELSE 'inserted' END AS outcome
+    FROM replay r JOIN line l ON l.k = r.k + 1)),
+done AS (SELECT doc_id, url, title, txt, hash, batch_id, fetched_at, outcome FROM line JOIN (SELECT k, outcome FROM replay) USING (k))"""
 
 
 _ERRORS = """
@@ -271,10 +273,10 @@ SELECT doc_id, CASE WHEN length(t) > 300 THEN regexp_replace(left(t, 300), '[{JS
         "link_graph_bfs": f"""WITH RECURSIVE d AS (SELECT doc_id, url, {_HOST} AS host, row_number() OVER (PARTITION BY {_HOST} ORDER BY doc_id) AS k FROM documents)
 SELECT url, (k - 1)::INT AS depth FROM d WHERE k <= 4""",
         "content_hash": "SELECT doc_id, sha256(coalesce(title, '') || chr(10) || coalesce(content_text, '')) AS content_hash FROM documents",
-        "dedup_pages": f"WITH {_ARRIVING},{_classified('page')} SELECT doc_id, outcome FROM done",
-        "outcomes": f"WITH {_ARRIVING},{_classified('page')} SELECT outcome, count(*) AS pages FROM done GROUP BY outcome",
-        "upsert_documents": f"""WITH {_ARRIVING}, known AS (SELECT url, title, (SELECT content_text FROM documents d WHERE d.doc_id = page.doc_id) AS txt, hash, token_count
-  FROM page WHERE batch_id < 20), fresh AS (SELECT * FROM page WHERE batch_id >= 20),{_classified('fresh', 'known')},
+        "dedup_pages": f"WITH RECURSIVE {_ARRIVING},{_classified('page')} SELECT doc_id, outcome FROM done",
+        "outcomes": f"WITH RECURSIVE {_ARRIVING},{_classified('page')} SELECT outcome, count(*) AS pages FROM done GROUP BY outcome",
+        "upsert_documents": f"""WITH RECURSIVE {_ARRIVING}, known AS (SELECT url, title, (SELECT content_text FROM documents d WHERE d.doc_id = page.doc_id) AS txt, hash, token_count
+  FROM page WHERE batch_id < 20 QUALIFY row_number() OVER (PARTITION BY url ORDER BY batch_id DESC, fetched_at DESC, doc_id DESC) = 1), fresh AS (SELECT * FROM page WHERE batch_id >= 20),{_classified('fresh', 'known')},
 latest AS (SELECT * FROM done WHERE outcome IN ('inserted', 'updated', 'noindex')
   QUALIFY row_number() OVER (PARTITION BY url ORDER BY batch_id DESC, fetched_at DESC, doc_id DESC) = 1)
 SELECT url, CASE WHEN l.url IS NOT NULL THEN l.title ELSE k.title END AS title, md5(CASE WHEN l.url IS NOT NULL THEN l.txt ELSE k.txt END) AS content,

@@ -319,9 +319,10 @@ def content_hash(spark, at):
 
 
 def _arriving(spark, at) -> DataFrame:
+    """Pages in order of arrival under their canonical address, which many pages of some sites share: they arrive again and again."""
     docs = read_table(spark, at, "documents")
     arrival = F.struct("batch_id", "fetched_at", "doc_id")
-    return docs.select("doc_id", "url", "title", "content_text", (F.col("http_status") >= 400).alias("noindex"), arrival.alias("arrival"), "batch_id")
+    return docs.select("doc_id", F.coalesce("canonical_url", "url").alias("url"), "title", "content_text", (F.col("http_status") >= 400).alias("noindex"), arrival.alias("arrival"), "batch_id")
 
 
 def dedup_pages(spark, at):
@@ -335,9 +336,10 @@ def outcomes(spark, at):
 
 def upsert_documents(spark, at):
     """The last batches (from 20 on) merged into what the earlier ones stored."""
-    docs = read_table(spark, at, "documents")
+    early = read_table(spark, at, "documents").where("batch_id < 20").withColumn("url", F.coalesce("canonical_url", "url"))
     hashed = storage.content_hash(F.col("title"), clean.trim_all(F.col("content_text")))
-    known = docs.where("batch_id < 20").select("url", "title", "content_text", hashed.alias("content_hash"), "token_count")
+    fields = F.struct("title", "content_text", hashed.alias("content_hash"), "token_count")
+    known = early.groupBy("url").agg(F.max_by(fields, F.struct("batch_id", "fetched_at", "doc_id")).alias("d")).select("url", "d.*")
     return storage.merge_documents(known, storage.classify_pages(_arriving(spark, at).where("batch_id >= 20"), known)).select(
         "url", "title", F.md5("content_text").alias("content"), "content_hash", "token_count"
     )

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from lodequery.functions import clean, web
@@ -128,6 +129,40 @@ def test_storage_outcomes(spark):
     assert kept.token_count == 7
 
 
+def _replayed(pages, held):
+    held, out = dict(held), {}
+    for url, text, noindex, at in sorted(pages, key=lambda p: p[3]):
+        if noindex:
+            out[at] = "noindex"
+            held.pop(url, None)
+        elif not text:
+            out[at] = "empty"
+        elif url in held:
+            out[at], held[url] = "updated", text
+        elif text in held.values():
+            out[at] = "duplicate"
+        else:
+            out[at], held[url] = "inserted", text
+    return out, held
+
+
+def test_pages_that_arrive_again(spark):
+    few = [("u", "a", False, 1), ("u", "a", True, 2), ("v", "a", False, 3), ("u", "a", False, 4)]
+    frame = spark.createDataFrame([(u, "T", c, n, a) for u, c, n, a in few], PAGES)
+    assert {r.arrival: r.outcome for r in storage.classify_pages(frame).collect()} == {1: "inserted", 2: "noindex", 3: "inserted", 4: "duplicate"}
+    rng = random.Random(8)
+    for _ in range(3):
+        many = [(rng.choice("uvwxyz"), rng.choice(["a", "b", "c", "d", ""]), rng.random() < 0.15, k) for k in range(150)]
+        held = {"u": "a", "q": "b"}
+        known = spark.createDataFrame([(u, "T", c, 1) for u, c in held.items()], "url string, title string, content_text string, token_count int")
+        known = known.withColumn("content_hash", storage.content_hash(F.col("title"), F.col("content_text")))
+        frame = spark.createDataFrame([(u, "T", c, n, a) for u, c, n, a in many], PAGES).repartition(3)
+        outcomes, left = _replayed(many, held)
+        found = storage.classify_pages(frame, known)
+        assert {r.arrival: r.outcome for r in found.collect()} == outcomes
+        assert {r.url: r.content_text for r in storage.merge_documents(known, found).collect()} == left
+
+
 def test_error_log(spark):
     log = [("u", "timeout", None, "x" * 600, 3, 1, 1, 5), ("u", "timeout", None, "x" * 600, 3, 1, 1, 5), ("u", "http-error", 500, None, 1, 2, 2, 9), (None, "z", 1, "", 1, 1, 1, 1)]
     frame = spark.createDataFrame(log, "url string, reason string, http_status int, detail string, depth int, attempts int, first_seen_at long, last_seen_at long")
