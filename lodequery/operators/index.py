@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodequery.functions.text import fold_plain, fold_udf, is_plain, is_stopword, raw_tokens, stem_udf
-from lodequery.operators.joins import broadcast_if_small
-from lodequery.session import cut_lineage
+from lodequery.functions.text import (
+    MAX_TOKEN_LENGTH, STOPWORDS, TOKEN_PATTERN, fold_plain, fold_token, fold_udf, is_plain, is_stopword, porter_stem, raw_tokens, stem_udf, utf16_length,
+)
+
+#: Distinct tokens whose stems a worker keeps.
+CACHED_TOKENS = 500_000
+_STOP = frozenset(STOPWORDS)
 
 
 def indexable_text(title: Column, body: Column) -> Column:
@@ -41,32 +48,97 @@ def vocabulary(raw: DataFrame) -> DataFrame:
     return folded.withColumn("term", stem_udf("surface"))
 
 
-def process_text(docs: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
-    """``doc_id, position, surface, term`` of every indexed token of ``docs`` (``doc_id, title, content_text``)."""
-    tokens = explode_tokens(docs)
-    vocab = cut_lineage(vocabulary(tokens)) if vocab is None else vocab
-    return tokens.join(broadcast_if_small(vocab), "raw").select("doc_id", "position", "surface", "term")
+class _Terms(dict):
+    """Folded form and stem of raw tokens, None for those that aren't indexed; starts anew when it is full."""
 
+    def __missing__(self, raw: str) -> tuple[str, str] | None:
+        if len(self) > CACHED_TOKENS:
+            self.clear()
+        surface = fold_token(raw)
+        value = self[raw] = (surface, porter_stem(surface)) if surface and surface not in _STOP else None
+        return value
+
+
+_terms = _Terms()
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """``term, doc_id, tf, positions`` with ascending positions."""
-    return tokens.groupBy("term", "doc_id").agg(
-        F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions")
-    )
 
+def _indexed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array, np.ndarray]:
+    """``(row, position, surfaces, terms, term codes)`` of the indexed tokens of a batch (``words``: each document's tokens).
 
-def term_counts(tokens: DataFrame) -> DataFrame:
-    """``term, doc_id, tf`` without positions; combined before the exchange."""
-    return tokens.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
+    Every distinct token of the batch is folded and stemmed once.
+    """
+    words = batch.column("words")
+    sizes = np.nan_to_num(words.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    known = [_terms[w] for w in coded.dictionary.to_pylist()]
+    code = np.asarray(coded.indices).astype(np.int64)
+    row = np.repeat(np.arange(batch.num_rows), sizes)
+    position = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    keep = np.array([k is not None for k in known], bool)[code] if known else np.zeros(0, bool)
+    surfaces = pa.array([k and k[0] for k in known], pa.string()).dictionary_encode()
+    terms = pa.array([k and k[1] for k in known], pa.string()).dictionary_encode()
+    code = code[keep]
+    which = pa.array(code)
+    term_code = np.asarray(terms.indices.fill_null(-1)).astype(np.int64)[code] if len(code) else code
+    return row[keep], position[keep].astype(np.int32), surfaces.take(which), terms.take(which), term_code
+
+
+def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, position, surfaces, terms, _ = _indexed(batch)
+        columns = [batch.column("doc_id").take(pa.array(row)), pa.array(position), surfaces.cast(pa.string()), terms.cast(pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "position", "surface", "term"])
+
+
+def _posting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, position, _, terms, code = _indexed(batch)
+        length = np.bincount(row, minlength=batch.num_rows)
+        order = np.lexsort((position, code, row))
+        first = np.flatnonzero(np.r_[True, (np.diff(row[order]) != 0) | (np.diff(code[order]) != 0)][: len(order)])
+        ends = np.r_[first[1:], len(order)].astype(np.int32) if len(first) else np.zeros(0, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)].astype(np.int32)), pa.array(position[order]))
+        at = order[first]
+        columns = [
+            terms.take(pa.array(at)).cast(pa.string()), batch.column("doc_id").take(pa.array(row[at])), pa.array((ends - first).astype(np.int32)),
+            lists, pa.array(length[row[at]].astype(np.int32)),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "doc_id", "tf", "positions", "doc_len"])
+
+
+def _tally_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        coded = batch.column("words").flatten().dictionary_encode()
+        counts = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary)) if len(coded) else []
+        rows = [(*k, int(n)) for w, n in zip(coded.dictionary.to_pylist(), counts, strict=True) if (k := _terms[w])]
+        surface, term, n = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(surface, pa.string()), pa.array(n, pa.int64())], ["term", "surface", "n"])
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", raw_tokens(indexable_text(F.col("title"), F.col("content_text"))).alias("words"))
+
+
+def process_text(docs: DataFrame) -> DataFrame:
+    """``doc_id, position, surface, term`` of every indexed token of ``docs`` (``doc_id, title, content_text``), without an exchange."""
+    return _words(docs).mapInArrow(_token_batches, "doc_id bigint, position int, surface string, term string")
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """``term, doc_id, tf, positions, doc_len`` with ascending positions.
+
+    A document is one row, so its postings are made where it is read: nothing is exchanged.
+    """
+    return _words(docs).mapInArrow(_posting_batches, "term string, doc_id bigint, tf int, positions array<int>, doc_len int")
 
 
 def doc_freq(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("doc_freq"))
 
 
-def doc_lengths(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+def doc_lengths(docs: DataFrame, posted: DataFrame) -> DataFrame:
     """``doc_id, token_count``; documents without indexed tokens have 0."""
-    counted = tokens.groupBy("doc_id").agg(F.count("*").alias("n"))
+    counted = posted.groupBy("doc_id").agg(F.first("doc_len").alias("n"))
     return docs.select("doc_id").join(counted, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("int").alias("token_count"))
 
 
@@ -78,9 +150,9 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     )
 
 
-def surface_forms(tokens: DataFrame) -> DataFrame:
+def surface_forms(docs: DataFrame) -> DataFrame:
     """``term, surface_form``: the most frequent spelling, then the shortest, then the least."""
-    tally = tokens.groupBy("term", "surface").agg(F.count("*").alias("n"))
+    tally = _words(docs).mapInArrow(_tally_batches, "term string, surface string, n bigint").groupBy("term", "surface").agg(F.sum("n").alias("n"))
     return tally.groupBy("term").agg(F.min_by("surface", F.struct(-F.col("n"), F.length("surface"), "surface")).alias("surface_form"))
 
 
@@ -103,33 +175,43 @@ def build_index(docs: DataFrame, check_ids: bool = True) -> Index:
     """Builds an index over ``doc_id, title, content_text``; duplicate ids are an error."""
     if check_ids and not duplicate_ids(docs).isEmpty():
         raise ValueError("duplicate document ids")
-    tokens = process_text(docs)
-    lengths = doc_lengths(docs, tokens)
-    posted = postings(tokens)
-    terms = doc_freq(posted).join(surface_forms(tokens), "term", "left")
-    return Index(posted.join(lengths, "doc_id").withColumnRenamed("token_count", "doc_len"), terms, lengths, corpus_stats(lengths))
+    posted = postings(docs)
+    lengths = doc_lengths(docs, posted)
+    terms = doc_freq(posted).join(surface_forms(docs), "term", "left")
+    return Index(posted, terms, lengths, corpus_stats(lengths))
+
+
+def _offset_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lengths, gaps, fits = (batch.column(c) for c in ("lengths", "gaps", "fits"))
+        sizes = np.asarray(lengths.value_lengths()).astype(np.int64)
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        starts = np.cumsum(sizes) - sizes
+        size = np.asarray(lengths.flatten()).astype(np.int64)
+        sums = np.r_[0, np.cumsum(size + np.asarray(gaps.flatten()).astype(np.int64))]
+        end = sums[1:] - sums[starts][row] if len(row) else size
+        keep = np.asarray(fits.flatten().to_numpy(zero_copy_only=False)).astype(bool)
+        counted = np.r_[0, np.cumsum(keep)]
+        position = counted[:-1] - counted[starts][row] if len(row) else size
+        at = pa.array(np.flatnonzero(keep))
+        columns = [
+            batch.column("doc_id").take(pa.array(row[keep])), pa.array(position[keep].astype(np.int32)), batch.column("tokens").flatten().take(at),
+            pa.array((end - size)[keep].astype(np.int32)), pa.array(end[keep].astype(np.int32)),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "position", "raw", "start", "end"])
 
 
 def token_offsets(docs: DataFrame) -> DataFrame:
     """``doc_id, position, raw, start, end``: code-point offsets of every token in the indexed text.
 
     The text splits into tokens and the gaps between them; running sums of their lengths
-    give the offsets.
+    inside each row give the offsets, without an exchange.
     """
-    from lodequery.functions.text import TOKEN_PATTERN
-
     text = indexable_text(F.col("title"), F.col("content_text"))
     found = F.regexp_extract_all(F.col("text"), F.lit(TOKEN_PATTERN), F.lit(0))
-    gaps = F.split(F.col("text"), TOKEN_PATTERN, -1)
-    parts = docs.select("doc_id", text.alias("text")).select("doc_id", found.alias("tokens"), gaps.alias("gaps"))
-    each = parts.select("doc_id", F.posexplode(F.arrays_zip("tokens", F.slice("gaps", 1, F.size("tokens")).alias("gaps"))).alias("i", "x"))
-    so_far = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.length("x.tokens") + F.length("x.gaps")).over(so_far)
-    placed = each.select("doc_id", "i", F.col("x.tokens").alias("raw"), end.cast("int").alias("end"))
-    from lodequery.functions.text import MAX_TOKEN_LENGTH, utf16_length
-
-    kept = placed.where(utf16_length(F.col("raw")) <= MAX_TOKEN_LENGTH)
-    order = Window.partitionBy("doc_id").orderBy("i")
-    return kept.select(
-        "doc_id", (F.row_number().over(order) - 1).alias("position"), "raw", (F.col("end") - F.length("raw")).cast("int").alias("start"), "end"
-    )
+    parts = docs.select("doc_id", text.alias("text")).select("doc_id", found.alias("tokens"), F.split("text", TOKEN_PATTERN, -1).alias("gaps"))
+    sized = parts.select(
+        "doc_id", "tokens", F.transform("tokens", F.length).alias("lengths"), F.transform(F.slice("gaps", 1, F.size("tokens")), F.length).alias("gaps"),
+        F.transform("tokens", lambda t: utf16_length(t) <= MAX_TOKEN_LENGTH).alias("fits"),
+    )
+    return sized.mapInArrow(_offset_batches, "doc_id bigint, position int, raw string, start int, end int")

@@ -29,12 +29,9 @@ def _tokens(spark: SparkSession, at: str) -> DataFrame:
 def _ranked(spark: SparkSession, at: str, queries: dict[int, str], k1: float = ranking.K1, b: float = ranking.B) -> tuple[index.Index, DataFrame]:
     """A ranking index (no positions) over the documents, and the scores of ``queries``."""
     docs = _documents(spark, at)
-    tokens = index.process_text(docs)
-    lengths = cut_lineage(index.doc_lengths(docs, tokens))
-    posted = index.term_counts(tokens)
-    built = index.Index(
-        posted.join(lengths, "doc_id").withColumnRenamed("token_count", "doc_len"), index.doc_freq(posted), lengths, index.corpus_stats(lengths)
-    )
+    posted = cut_lineage(index.postings(docs).drop("positions"))
+    lengths = index.doc_lengths(docs, posted)
+    built = index.Index(posted, index.doc_freq(posted), lengths, index.corpus_stats(lengths))
     return built, ranking.score(built, ranking.queries_frame(spark, queries), k1, b)
 
 
@@ -74,36 +71,36 @@ def process_query(spark, at):
 
 
 def postings(spark, at):
-    posted = index.postings(_tokens(spark, at))
+    posted = index.postings(_documents(spark, at))
     return posted.select("term", "doc_id", "tf", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
 
 
 def doc_freq(spark, at):
-    return index.doc_freq(index.term_counts(_tokens(spark, at)))
+    return index.doc_freq(index.postings(_documents(spark, at)))
 
 
 def doc_lengths(spark, at):
     docs = _documents(spark, at)
-    return index.doc_lengths(docs, index.process_text(docs))
+    return index.doc_lengths(docs, index.postings(docs))
 
 
 def corpus_stats(spark, at):
     docs = _documents(spark, at)
-    stats = index.corpus_stats(index.doc_lengths(docs, index.process_text(docs)))
+    stats = index.corpus_stats(index.doc_lengths(docs, index.postings(docs)))
     return stats.withColumn("avg_doc_len", F.round("avg_doc_len", 6))
 
 
 def surface_forms(spark, at):
-    return index.surface_forms(_tokens(spark, at))
+    return index.surface_forms(_documents(spark, at))
 
 
 def build_index(spark, at):
     """The dictionary of a whole build with the sums over its postings."""
     docs = _documents(spark, at)
-    tokens = index.process_text(docs)
-    posted = tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sum("position").alias("at"))
-    terms = posted.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("occurrences"), F.sum("at").alias("position_sum"))
-    return terms.join(index.surface_forms(tokens), "term")
+    built = index.build_index(docs)
+    total = F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)
+    sums = built.postings.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.sum(total).alias("position_sum"))
+    return built.terms.join(sums, "term").select("term", "doc_freq", "occurrences", "position_sum", "surface_form")
 
 
 def corpus_sources(spark, at):
@@ -242,8 +239,8 @@ def suggest_split(spark, at):
 
 
 def suggest_terms(spark, at):
-    tokens = _tokens(spark, at)
-    terms = index.doc_freq(index.term_counts(tokens)).join(index.surface_forms(tokens), "term")
+    docs = _documents(spark, at)
+    terms = index.doc_freq(index.postings(docs)).join(index.surface_forms(docs), "term")
     rows = [(i, *suggest.split_text(t)) for i, t in PREFIXES.items()]
     inputs = spark.createDataFrame([(i, h, text.fold_token(f)) for i, h, f in rows], "input_id int, head string, prefix string")
     return suggest.suggest_batch(terms, inputs)
