@@ -1,15 +1,17 @@
-"""Command line: ``ingest``, ``index``, ``search`` and ``suggest``."""
+"""Command line: ``crawl``, ``ingest``, ``index``, ``search`` and ``suggest``."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+import time
 from dataclasses import asdict
 
 from pyspark.sql import functions as F
 
-from lodequery.operators import ranking
+from lodequery.operators import fetching, ranking
+from lodequery.operators.crawl import MAX_DEPTH
 from lodequery.operators.index import build_index
 from lodequery.service import SearchEngine
 from lodequery.session import build_session
@@ -37,6 +39,14 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("pages")
     one.add_argument("documents")
     one.add_argument("--checkpoint", required=True)
+    one = sub.add_parser("crawl", help="crawl stored answers (url, status, content_type, body) from seeds on")
+    one.add_argument("answers")
+    one.add_argument("pages", help="where the parsed pages go (Parquet)")
+    one.add_argument("-s", "--seed", action="append", required=True)
+    one.add_argument("--host", action="append", default=[])
+    one.add_argument("-m", "--max", type=_bounded(int, 1, 10**9), default=fetching.MAX_PAGES)
+    one.add_argument("-d", "--depth", type=_bounded(int, 0, 20), default=MAX_DEPTH)
+    one.add_argument("--robots", help="robots entries (Parquet)")
     one = sub.add_parser("index", help="build and publish an index of a documents table")
     one.add_argument("documents")
     one.add_argument("root")
@@ -62,6 +72,12 @@ def main(args: list[str] | None = None) -> int:
         if asked.command == "ingest":
             ingest(spark, asked.pages, asked.documents, asked.checkpoint).awaitTermination()
             return 0
+        if asked.command == "crawl":
+            entries = spark.read.parquet(asked.robots) if asked.robots else None
+            pages, summary = fetching.crawl_stored(spark.read.parquet(asked.answers), asked.seed, asked.host, entries, asked.max, asked.depth, int(time.time() * 1000))
+            pages.write.mode("overwrite").parquet(asked.pages)
+            print(json.dumps(summary))
+            return 0
         docs = spark.read.parquet(asked.documents)
         if asked.command == "index":
             index = build_index(docs)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodequery.functions.urls import canonical_host
 from lodequery.functions.web import normalize_url_udf
+from lodequery.operators.joins import broadcast_if_small
 from lodequery.session import cut_lineage
 
 # Depth and queue bounds, retries, politeness.
@@ -66,9 +67,8 @@ def admit(candidates: DataFrame, allowed_hosts: DataFrame | None = None, seen: D
     again = ~requeue & (F.coalesce("known", F.lit(False)) | queued_before)
     rows = rows.withColumn("again", again)
     if room is not None:
-        places = Window.orderBy("candidate_id").rowsBetween(Window.unboundedPreceding, -1)
-        taken = F.coalesce(F.sum(F.when(F.col("reason").isNull() & ~F.col("again"), 1).otherwise(0)).over(places), F.lit(0))
-        rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & (taken >= room), "queue-full").otherwise(F.col("reason")))
+        rows = running_count(rows, F.col("reason").isNull() & ~F.col("again"), ["candidate_id"])
+        rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("before") >= room), "queue-full").otherwise(F.col("reason")))
     rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & F.col("again"), "duplicate").otherwise(F.col("reason")))
     return rows.select("candidate_id", "url", "depth", "reason")
 
@@ -78,11 +78,28 @@ def frontier_order(queue: DataFrame) -> DataFrame:
     return queue.orderBy("depth", "url")
 
 
+def running_count(rows: DataFrame, counted: Column, order: list[str], by: list[str] = ()) -> DataFrame:
+    """Adds ``before``: how many rows that are ``counted`` come earlier in ``order`` (among equal ``by``).
+
+    Rows are range-partitioned, so a group of any size is spread over tasks: the count
+    inside a partition, and the sums of the partitions before it, one row each.
+    """
+    ranged = rows.withColumn("counted", counted.cast("long")).repartitionByRange(*by, *order)
+    placed = cut_lineage(ranged.withColumn("part", F.spark_partition_id()))
+    sums = placed.groupBy("part", *by).agg(F.sum("counted").alias("n"))
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sums.withColumn("shift", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    inside = Window.partitionBy("part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.withColumn("inside", F.coalesce(F.sum("counted").over(inside), F.lit(0)))
+    keys = [F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("part", *by)]
+    joined = counts.alias("c").join(broadcast_if_small(cut_lineage(shift)).alias("s"), keys)
+    return joined.select(*[f"c.{c}" for c in rows.columns], (F.col("inside") + F.col("shift")).alias("before"))
+
+
 def host_rounds(queue: DataFrame) -> DataFrame:
     """``url, depth, host, round``: one address of each host in a round, shallow ones first."""
-    host = canonical_host(F.col("url"))
-    order = Window.partitionBy("host").orderBy("depth", "url")
-    return queue.withColumn("host", host).withColumn("round", F.row_number().over(order) - 1).select("url", "depth", "host", "round")
+    ranked = running_count(queue.select("url", "depth", canonical_host(F.col("url")).alias("host")), F.lit(1), ["depth", "url"], ["host"])
+    return ranked.select("url", "depth", "host", F.col("before").cast("int").alias("round"))
 
 
 def crawl_levels(seeds: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

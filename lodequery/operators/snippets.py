@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodequery.functions.text import utf16_length
 from lodequery.operators.index import indexable_text, token_offsets, vocabulary
 from lodequery.operators.joins import broadcast_if_small
 from lodequery.session import cut_lineage
@@ -142,6 +143,32 @@ def merge_spans(matches: Column, length: Column) -> Column:
     return F.aggregate(some, empty, add)
 
 
+def segments(snippet: Column, matches: Column) -> Column:
+    """The snippet as ``array<struct<text, highlighted>>``; the texts put together are the snippet again."""
+    merged = merge_spans(matches, F.length(snippet))
+    kind = "array<struct<text:string,highlighted:boolean>>"
+    start = F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("at"))
+
+    def piece(text: Column, marked: bool) -> Column:
+        one = F.array(F.struct(text.alias("text"), F.lit(marked).alias("highlighted")))
+        return F.when(F.length(text) > 0, one).otherwise(F.array().cast(kind))
+
+    def step(acc: Column, m: Column) -> Column:
+        gap = piece(F.substring(snippet, acc["at"] + 1, m["start"] - acc["at"]), False)
+        return F.struct(F.concat(acc["out"], gap, piece(F.substring(snippet, m["start"] + 1, m["end"] - m["start"]), True)).alias("out"), m["end"].alias("at"))
+
+    return F.aggregate(merged, start, step, lambda acc: F.concat(acc["out"], piece(F.substring(snippet, acc["at"] + 1, F.length(snippet)), False)))
+
+
+def utf16_offsets(text: Column, matches: Column) -> Column:
+    """Offsets in code points as offsets in UTF-16 units, which is what browsers count in."""
+
+    def unit(at: Column) -> Column:
+        return utf16_length(F.substring(text, F.lit(1), at))
+
+    return F.transform(matches, lambda m: F.struct(unit(m["start"]).alias("start"), unit(m["end"]).alias("end")))
+
+
 def highlight(snippet: Column, matches: Column, before: str = "[", after: str = "]") -> Column:
     """The snippet with every merged match between marks."""
     merged = merge_spans(matches, F.length(snippet))

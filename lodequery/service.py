@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import time
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from urllib.parse import quote, unquote_to_bytes, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -219,6 +221,35 @@ def page_slots(page: int, total: int) -> list[int | None]:
     return out
 
 
+def parse_page(raw: str | None) -> int:
+    """The page number of an address; 1 for anything that isn't a whole number from 1 on."""
+    try:
+        value = float((raw or "").strip() or "nan")
+    except ValueError:
+        return 1
+    return int(value) if value >= 1 and value.is_integer() else 1
+
+
+def readable_url(url: str) -> str:
+    """Host, path and query of an address as people read it; the address itself where it can't be taken apart."""
+    parts = urlsplit(url)
+    if not parts.scheme or not parts.netloc:
+        return url
+    host = parts.netloc.rsplit("@", 1)[-1].lower().removesuffix({"http": ":80", "https": ":443"}.get(parts.scheme.lower(), ":"))
+    shown = f"{parts.path or '/'}{'?' + parts.query if parts.query else ''}"
+    try:
+        path = re.sub(r"(?:%[0-9a-fA-F]{2})+", lambda m: _decoded(m[0]), shown)
+    except UnicodeDecodeError:
+        return url
+    return host if path == "/" else host + path
+
+
+def _decoded(escaped: str) -> str:
+    """Escaped text; signs that part an address stay escaped."""
+    text = unquote_to_bytes(escaped).decode("utf-8")
+    return "".join(quote(c, safe="") if c in ";/?:@&=+$,#" else c for c in text)
+
+
 def total_pages(total: int, size: int) -> int:
     return max(1, math.ceil(total / size))
 
