@@ -90,7 +90,7 @@ def robots_entries(fetched: DataFrame) -> DataFrame:
     ``fetched``: ``origin, body`` (text, null on failure), ``reason, retryable, at_ms``. Of
     several answers of one origin the last one holds. An aborted request leaves no entry.
     """
-    last = F.max_by(F.struct("body", "reason", "retryable", "at_ms"), F.col("at_ms"))
+    last = F.max_by(F.struct("body", "reason", "retryable", "at_ms"), F.struct("at_ms", "reason", "retryable"))
     known = fetched.where(F.coalesce(F.col("reason") != "aborted", F.lit(True)) & F.col("origin").isNotNull()).groupBy("origin").agg(last.alias("f")).select("origin", "f.*")
     outcome = F.when(F.col("body").isNotNull(), "rules").otherwise(crawl.robots_outcome(F.col("reason"), F.coalesce("retryable", F.lit(False))))
     ttl = F.when(outcome == "disallow-all", UNREACHABLE_TTL_MS).otherwise(RULES_TTL_MS)

@@ -173,6 +173,20 @@ _QUEUE = "queue AS (SELECT url, min(depth) AS depth FROM crawl_errors WHERE url
 _RULES = "(true, '/', '^/'), (false, '/old/', '^/old/'), (true, '/old/*page', '^/old/.*page'), (false, '/*?page=', '^/.*[?]page='), (false, '/x/', '^/x/'), (true, '/docs/*', '^/docs/.*'), (false, '/*/archive/', '^/.*/archive/')"
 
 
+def _normal(url: str, source: str, name: str = "normal") -> str:
+    """CTE ``name (url, normal)``: one spelling of the addresses of ``source``, for http addresses without dot segments, escapes and credentials."""
+    tracking = ", ".join(f"'{t}'" for t in TRACKING)
+    prefixes = " OR ".join(f"starts_with(lower(p), '{p}')" for p in TRACKING_PREFIXES)
+    return f"""
+{name}_a AS (SELECT DISTINCT {url} AS url, regexp_replace({url}, '#.*$', '') AS x FROM {source} WHERE {url} IS NOT NULL),
+{name}_b AS (SELECT url, lower(regexp_extract(x, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(x, '^[A-Za-z]+://([^/?]+)', 1)) AS host,
+  regexp_extract(x, '^[A-Za-z]+://[^/?]+([^?]*)', 1) AS path, regexp_extract(x, '[?](.*)$', 1) AS query FROM {name}_a),
+{name}_c AS (SELECT *, array_to_string(list_sort(list_transform(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT (split_part(lower(p), '=', 1) IN ({tracking}) OR {prefixes})),
+  lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END)), '&') AS kept FROM {name}_b),
+{name} AS (SELECT url, scheme || '://' || CASE scheme WHEN 'http' THEN regexp_replace(host, ':80$', '') ELSE regexp_replace(host, ':443$', '') END ||
+  CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS normal FROM {name}_c)"""
+
+
 _OFFSETS = r"""
 cuts AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''’ʼ][\p{L}\p{N}]+)*') AS w,
   regexp_split_to_array(text, '[\p{L}\p{N}]+(?:[''’ʼ][\p{L}\p{N}]+)*') AS g FROM doc),
@@ -289,6 +303,27 @@ FROM known k FULL JOIN latest l USING (url) WHERE l.outcome IS NULL OR l.outcome
         "crawl_summary": f"""WITH {_ERRORS} SELECT reason, count(DISTINCT url) AS urls, sum(attempts)::BIGINT AS attempts,
   sum((attempts > 2)::INT)::BIGINT AS gave_up FROM merged GROUP BY reason""",
         "frontier_order": f"WITH {_QUEUE} SELECT url, depth FROM queue ORDER BY depth, url",
+        "url_normalize": f"WITH {_normal('url', 'documents')} SELECT url, normal FROM normal",
+        "link_graph": f"""WITH {_normal('url', 'documents')}, site AS (SELECT DISTINCT doc_id, normal, regexp_extract(normal, '^[a-z]+://[^/?]+') AS root FROM documents JOIN normal USING (url))
+SELECT normal AS source, root || '/menu' AS target FROM site UNION ALL SELECT normal, root || '/next?id=' || doc_id FROM site""",
+        "frontier_admission": f"""WITH {_normal('url', 'documents', 'seen')}, log AS (SELECT url, min(depth) AS depth, min(reason) AS why FROM crawl_errors WHERE url IS NOT NULL GROUP BY url),
+{_normal('url', 'log', 'asked')}, allowed AS (SELECT DISTINCT {_HOST} AS host FROM documents WHERE {_HOST} < 'n'),
+c AS (SELECT row_number() OVER (ORDER BY l.url) - 1 AS candidate_id, a.normal AS url, depth, why = 'timeout' AS requeue FROM log l JOIN asked a USING (url)),
+f AS (SELECT *, CASE WHEN depth > 3 THEN 'too-deep' WHEN lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)) = '/robots.txt' THEN 'excluded'
+  WHEN {_HOST} NOT IN (SELECT host FROM allowed) THEN 'out-of-scope' END AS why_not, NOT coalesce(requeue, false) AND url IN (SELECT normal FROM seen) AS again FROM c),
+g AS (SELECT *, coalesce(sum((why_not IS NULL AND NOT again)::INT) OVER (ORDER BY candidate_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM f)
+SELECT candidate_id, url, depth, CASE WHEN why_not IS NOT NULL THEN why_not WHEN taken >= 100 THEN 'queue-full' WHEN again THEN 'duplicate' END AS reason FROM g""",
+        "ready_times": f"""WITH {_QUEUE}, h AS (SELECT url, depth, {_HOST} AS host FROM queue),
+r AS (SELECT *, (row_number() OVER (PARTITION BY host ORDER BY depth, url) - 1)::INT AS round FROM h) SELECT url, depth, host, round, round::BIGINT * 1000 AS ready_ms FROM r""",
+        "robots_entries": f"""WITH l AS (SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, reason, {_RETRY} OR coalesce(reason IN ('timeout', 'network'), false) AS again,
+  epoch_ms(last_seen_at) AS t FROM crawl_errors WHERE url IS NOT NULL AND coalesce(reason <> 'aborted', true)),
+f AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY origin ORDER BY t DESC NULLS LAST, reason DESC NULLS LAST, again DESC) = 1),
+o AS (SELECT *, CASE WHEN reason = 'too-large' OR again THEN 'disallow-all' ELSE 'allow-all' END AS outcome FROM f)
+SELECT origin, outcome, t + CASE outcome WHEN 'disallow-all' THEN 300000 ELSE 86400000 END AS expires_ms FROM o""",
+        "retry_delays": """WITH a AS (SELECT http_status, attempts, CASE WHEN http_status IN (429, 503) THEN depth * 20000.0 END AS after FROM crawl_errors WHERE attempts > 0)
+SELECT http_status, attempts, CASE WHEN after > 30000 THEN NULL WHEN after IS NOT NULL THEN after::DOUBLE ELSE least(500 * 2.0 ** (attempts - 1), 8000) * 0.75 END AS delay_ms, count(*) AS n FROM a GROUP BY ALL""",
+        "decode_bodies": """SELECT doc_id, md5(coalesce(content_text, '')) AS text, CASE doc_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16-le' ELSE 'utf-16-be' END AS charset,
+  CASE doc_id % 3 WHEN 0 THEN 'default' ELSE 'header' END AS charset_source FROM documents""",
         "host_rounds": f"""WITH {_QUEUE}, h AS (SELECT url, depth, {_HOST} AS host FROM queue)
 SELECT url, depth, host, (row_number() OVER (PARTITION BY host ORDER BY depth, url) - 1)::INT AS round FROM h""",
         "robots_outcome": f"""WITH l AS (SELECT DISTINCT * FROM crawl_errors), r AS (SELECT reason, {_RETRY} OR coalesce(reason IN ('timeout', 'network'), false) AS again FROM l)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodequery.functions import clean, text, web
 from lodequery.functions.urls import canonical_host
-from lodequery.operators import crawl, index, ranking, snippets, storage, suggest
+from lodequery.operators import crawl, fetching, index, ranking, snippets, storage, suggest
 from lodequery.session import cut_lineage
 from lodequery.sources.tables import read_table
 
@@ -357,13 +357,13 @@ def crawl_summary(spark, at):
 
 
 def frontier_admission(spark, at):
-    """Failed addresses offered to the frontier again, documents' addresses being seen."""
+    """Failed addresses offered to the frontier again, documents' addresses being seen; a hundred places are left."""
     log = read_table(spark, at, "crawl_errors").where("url IS NOT NULL").groupBy("url").agg(F.min("depth").alias("depth"), F.min("reason").alias("why"))
-    asked = log.select(F.xxhash64("url").alias("candidate_id"), F.col("url").alias("requested"), "depth", (F.col("why") == "timeout").alias("requeue"))
+    numbered = crawl.running_count(log, F.lit(1), ["url"])
+    asked = numbered.select(F.col("before").alias("candidate_id"), F.col("url").alias("requested"), "depth", (F.col("why") == "timeout").alias("requeue"))
     docs = read_table(spark, at, "documents")
     allowed = docs.select(canonical_host(F.col("url")).alias("host")).where("host < 'n'")
-    admitted = crawl.admit(asked, allowed, docs.select(web.normalize_url_udf("url").alias("url")))
-    return admitted.groupBy(F.coalesce("reason", F.lit("queued")).alias("reason")).agg(F.count("*").alias("n"))
+    return crawl.admit(asked, allowed, docs.select(web.normalize_url_udf("url").alias("url")), room=100)
 
 
 def _queue(spark, at) -> DataFrame:
@@ -379,6 +379,41 @@ def host_rounds(spark, at):
     return crawl.host_rounds(_queue(spark, at))
 
 
+def ready_times(spark, at):
+    """When each queued address may be fetched, one request of a host at a time."""
+    none = fetching.robots_entries(spark.createDataFrame([], "origin string, body string, reason string, retryable boolean, at_ms long"))
+    return fetching.ready_times(_queue(spark, at), none)
+
+
+def robots_entries(spark, at):
+    """What the last failure of each origin would mean for its robots file, and until when."""
+    log = read_table(spark, at, "crawl_errors")
+    retry = crawl.retryable_status(F.col("http_status")) | F.col("reason").isin("timeout", "network")
+    origin = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
+    fetched = log.where("url IS NOT NULL").select(
+        origin.alias("origin"), F.lit(None).cast("string").alias("body"), "reason", F.coalesce(retry, F.lit(False)).alias("retryable"), F.unix_millis("last_seen_at").alias("at_ms")
+    )
+    return fetching.robots_entries(fetched).select("origin", "outcome", "expires_ms")
+
+
+def retry_delays(spark, at):
+    """Waiting times after each logged failure, as if 429 and 503 asked for twenty seconds a level of depth."""
+    header = F.when(F.col("http_status").isin(429, 503), (F.col("depth") * 20).cast("string"))
+    after = fetching.retry_after_ms(header, F.lit(0.0))
+    log = read_table(spark, at, "crawl_errors").where("attempts > 0")
+    return log.groupBy("http_status", "attempts", fetching.retry_delay_ms(after, F.col("attempts"), F.lit(0.5)).alias("delay_ms")).agg(F.count("*").alias("n"))
+
+
+def decode_bodies(spark, at):
+    """Every page's text as bytes in one of three charsets, and read back by its header."""
+    docs = read_table(spark, at, "documents").select("doc_id", F.coalesce("content_text", F.lit("")).alias("t"))
+    kind = F.pmod("doc_id", F.lit(3))
+    body = F.when(kind == 0, F.encode("t", "UTF-8")).when(kind == 1, F.encode("t", "UTF-16LE")).otherwise(F.encode("t", "UTF-16BE"))
+    header = F.when(kind == 0, "text/html").when(kind == 1, "text/html; charset=utf-16le").otherwise('text/html; charset="UTF-16BE"')
+    read = fetching.decode_bodies(docs.select("doc_id", body.alias("body"), header.alias("content_type")))
+    return read.select("doc_id", F.md5("text").alias("text"), "charset", "charset_source")
+
+
 def robots_outcome(spark, at):
     log = read_table(spark, at, "crawl_errors").distinct()
     retry = crawl.retryable_status(F.col("http_status")) | F.col("reason").isin("timeout", "network")
@@ -414,7 +449,7 @@ _QUERIES = {
         doc_lengths, corpus_stats, surface_forms, build_index, corpus_sources, stored_stats, idf, bm25_single, term_postings, bm25_or, bm25_topk,
         bm25_batch, bm25_params, bm25_page, bm25_and, phrase, explain, search_page, snippet_window, snippet_lead, highlight, merge_intervals,
         suggest_split, suggest_stored, url_normalize, tracking_params, clean_text, parse_pages, link_graph, link_graph_bfs, content_hash, dedup_pages,
-        outcomes, upsert_documents, crawl_errors, cleared_errors, crawl_summary, frontier_admission, frontier_order, host_rounds, robots_outcome,
+        outcomes, upsert_documents, crawl_errors, cleared_errors, crawl_summary, frontier_admission, frontier_order, host_rounds, ready_times, robots_entries, retry_delays, decode_bodies, robots_outcome,
         retryable_status, robots_verdicts, corpus_rollup,
     )
 } | {"snippets": all_snippets, "suggest": suggest_terms, "canonical_host": hosts}
