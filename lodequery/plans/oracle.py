@@ -316,7 +316,7 @@ SELECT candidate_id, url, depth, CASE WHEN why_not IS NOT NULL THEN why_not WHEN
         "ready_times": f"""WITH {_QUEUE}, h AS (SELECT url, depth, {_HOST} AS host FROM queue),
 r AS (SELECT *, (row_number() OVER (PARTITION BY host ORDER BY depth, url) - 1)::INT AS round FROM h) SELECT url, depth, host, round, round::BIGINT * 1000 AS ready_ms FROM r""",
         "robots_entries": f"""WITH l AS (SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, reason, {_RETRY} OR coalesce(reason IN ('timeout', 'network'), false) AS again,
-  epoch_ms(last_seen_at) AS t FROM crawl_errors WHERE url IS NOT NULL AND coalesce(reason <> 'aborted', true)),
+  epoch_us(last_seen_at) // 1000 AS t FROM crawl_errors WHERE url IS NOT NULL AND coalesce(reason <> 'aborted', true)),
 f AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY origin ORDER BY t DESC NULLS LAST, reason DESC NULLS LAST, again DESC) = 1),
 o AS (SELECT *, CASE WHEN reason = 'too-large' OR again THEN 'disallow-all' ELSE 'allow-all' END AS outcome FROM f)
 SELECT origin, outcome, t + CASE outcome WHEN 'disallow-all' THEN 300000 ELSE 86400000 END AS expires_ms FROM o""",
