@@ -15,9 +15,12 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodequery.operators.joins import broadcast_if_small
 from lodequery.session import cut_lineage
 
-RUN_SCHEMA = "kind string, size int, runs array<struct<first:bigint,items:bigint,per:int,container:bigint>>"
+RUN_SCHEMA = "kind string, size int, runs array<struct<first:bigint,items:bigint,per:int,container:bigint>>, since bigint, until bigint"
+#: Runs looked through for an item, and rows of the plan up to which it is broadcast (about a kilobyte each).
+RUNS_A_ROW, PLAN_ROWS = 32, 100_000
 #: Items of one size ranked in one task, about.
 BUCKET_ITEMS = 200_000
 
@@ -130,13 +133,27 @@ def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
         for kind, by_size in found.items()
         for size, runs in pack_counts(by_size, capacity[kind])[0].items()
     ]
-    plan = F.broadcast(sizes.sparkSession.createDataFrame(rows, RUN_SCHEMA))  # at most a row for each size up to the capacity
+    # A row for each size up to the capacity; sizes of many runs are cut, so that a row has at most RUNS_A_ROW of them.
+    cut = [(kind, size, runs[k : k + RUNS_A_ROW], runs[k][0], runs[min(k + RUNS_A_ROW, len(runs)) - 1]) for kind, size, runs in rows for k in range(0, len(runs), RUNS_A_ROW)]
+    cut = [(kind, size, runs, first, last[0] + last[1]) for kind, size, runs, first, last in cut]
+    plan = broadcast_if_small(sizes.sparkSession.createDataFrame(cut, RUN_SCHEMA), PLAN_ROWS)
     order = Window.partitionBy("kind", "size", "bucket").orderBy("doc_id", "piece")
     ranked = items.withColumn("rank", F.row_number().over(order) - 1)
     ranked = ranked.join(offsets.drop("count"), ["kind", "size", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     run = F.element_at(F.filter("runs", lambda x: (F.col("rank") >= x["first"]) & (F.col("rank") < x["first"] + x["items"])), 1)
-    placed = ranked.join(plan, ["kind", "size"], "left").withColumn("run", run)
+    same = ["kind", "size"]
+    fits = [F.col(f"i.{c}") == F.col(f"p.{c}") for c in same] + [F.col("rank") >= F.col("since"), F.col("rank") < F.col("until")]
+    joined = ranked.alias("i").join(plan.alias("p"), fits, "left").select("i.*", "runs")
+    placed = joined.withColumn("run", run)
     container = F.expr("run.container + (rank - run.first) div run.per")
     return placed.select(
         "kind", "doc_id", "piece", F.col("size").alias("tokens"), F.coalesce(container, F.lit(0)).cast("long").alias("container_id")
     )
+
+
+def fill_rates(placed: DataFrame, containers: DataFrame) -> DataFrame:
+    """``kind, capacity, containers, tokens, fill``: how full the containers of each kind are (``fill`` of 1: no free space)."""
+    sizes = containers.select("kind", "capacity").distinct().where("kind IS NOT NULL AND capacity > 0")
+    used = placed.where("tokens > 0").groupBy("kind").agg((F.max("container_id") + 1).alias("containers"), F.sum("tokens").alias("tokens"))
+    fill = F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6)
+    return used.join(sizes, "kind").select("kind", "capacity", "containers", "tokens", fill.alias("fill"))

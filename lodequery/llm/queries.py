@@ -106,6 +106,11 @@ def p9_pack(spark: SparkSession, at: str) -> DataFrame:
     return packing.pack(sizes, read_table(spark, at, "containers"))
 
 
+def p9_fill(spark: SparkSession, at: str) -> DataFrame:
+    """Containers used, and how full they are, by kind."""
+    return packing.fill_rates(p9_pack(spark, at), read_table(spark, at, "containers"))
+
+
 def p10_found(spark: SparkSession, at: str) -> DataFrame:
     return abuse.abusive_documents(read_table(spark, at, "documents"), read_table(spark, at, "labels"))
 
@@ -121,7 +126,7 @@ def p10_scores(spark: SparkSession, at: str) -> DataFrame:
 
 _QUERIES = (
     p1_found, p1_scores, p2_found, p2_accepted, p2_history, p3_found, p3_terms, p3_phrases, p4_found, p4_languages, p5_found, p5_main_text, p6_found, p6_restored,
-    p7_found, p7_lines, p7_cleaned, p8_ids, p9_pack,
+    p7_found, p7_lines, p7_cleaned, p8_ids, p9_pack, p9_fill,
     p10_found, p10_rates, p10_scores,
 )
 
