@@ -54,10 +54,10 @@ LEXICON = {
     )),
     "curse": (1.4, (
         "asshole*|arsehole*|dickhead*|fuck|fucks|fucked|fucker*|fucking|fuckface*|shithead*|bullshit*|slut|sluts|slutty|whore|whores|bitch|bitches|twat*|wanker*|bastard*|scumbag*|douchebag*|"
-        "dumbass*|jackass*|retard|retards|retarded|kiss my ass|go to hell|drop dead|deserve to die|should be exterminated|must be exterminated|should be gassed|should be hanged|rot in hell|burn in hell|piece of crap|piece of garbage|piece of trash|"
+        "dumbass*|jackass*|retard|retards|retarded|kiss my ass|go to hell|drop dead|deserve to die|should be exterminated|must be exterminated|should be gassed|should be hanged|should burn|rot in hell|burn in hell|piece of crap|piece of garbage|piece of trash|"
         "arschloch*|schlampe*|hure|huren|scheißkerl*|drecksau*|dreckskerl*|vollidiot*|spast|spasti|schwuchtel*|fahr zur hölle|verrecke|verrecken|"
         "connard*|connasse*|salope*|salaud*|pute|putes|putain|trou du cul|pédé|pédés|ordure|crève|ferme la|va au diable|espèce de|espèce d abruti|"
-        "cabrón|cabrones|gilipollas|puta|putas|zorra|zorras|pendejo*|malparido*|vete al infierno|muérete|hostia puta|"
+        "cabrón|cabrones|gilipollas|puta|putas|zorra|zorras|pendejo*|malparido*|vete al infierno|pedazo de basura|pedazo de mierda|muérete|hostia puta|"
         "puta|vadia|vadias|vagabunda*|caralho|cuzão|corno|desgraçado*|vai para o inferno|morre logo|cala a boca|cala essa boca|"
         "сука|суки|сучка|шлюх*|блядь|бляди|блядск*|ублюд*|мразь|мрази|хуй*|хуе*|пизд*|ебан*|ебал*|ебат*|гандон*|говнюк*|сдохни|заткнись|заткнитесь|катись к черту"
     )),
@@ -88,7 +88,7 @@ LEXICON = {
     )),
     "violence": (0.8, (
         "kill|kill them|exterminat*|eradicat*|wiped out|wipe them out|gassed|hanged|hang|shot|shoot|beat|beats|beaten|smash|smashed|break your|choke|strangle*|stab|stabbed|slaughter*|burn|burned|lynch*|deported|cattle|camps|"
-        "driven out|driven from|thrown out|kicked out|sent back|go back to|locked|should be shot|should be killed|should burn|find you|cut your|pulp|teeth|fingers|bones|skull|deserve|deserves|"
+        "driven out|driven from|thrown out|kicked out|sent back|go back to|locked|should be shot|should be killed|find you|cut your|pulp|teeth|fingers|bones|skull|deserve|deserves|"
         "umbringen|abknallen|vergasen|ausrotten|ausgerottet|erschießen|erschossen|aufhängen|verbrennen|totschlagen|gejagt|abschieben|raus hier|aus dem land|"
         "tuer|crever|exterminer|éliminer|pendre|brûler|fusiller|égorger|chasser|expulser|dehors les|du pays|"
         "matar|matarlos|exterminar*|eliminar|quemar*|fusilar*|ahorcar|echarlos|expulsar*|fuera del|del país|"
@@ -113,7 +113,7 @@ LEXICON = {
         "секс*|голы*|голая|эротич*|стон*|лизать|горяч*|без цензуры|всю ночь|девки|девушки"
     )),
     "group": (0.6, (
-        "these people|those people|all of them|every one of them|every one of you|they are all|our jobs|our streets|our town|our country|our women|nothing good|never trust|women are|must be|has to be|have to be|should be|you are nothing|like cattle|like rats|"
+        "these people|those people|all of them|every one of them|every one of you|they are all|our jobs|our streets|our town|our country|our women|nothing good|never trust|women are|belong in|must be|has to be|have to be|should be|you are nothing|like cattle|like rats|"
         "alle diese|diese leute|die alle|gehören|gehört|ihr seid|raus mit|"
         "ces gens|tous les|il faut|chez nous|"
         "esa gente|todos los|sois todos|hay que|todas las|"

@@ -31,13 +31,13 @@ SAMPLE_PAGES = 400
 LEAST_WORDS = 20
 #: What a text scores for each trigram, as a share of what the language's own pages score, below which it is in none of
 #: the languages; and trigrams it must have for that.
-LEAST_SHARE, LEAST_TRIGRAMS = 0.55, 40
+LEAST_SHARE, LEAST_TRIGRAMS = 0.55, 150
 #: Share of a text's trigrams in letters of other scripts from which it is in none of the languages.
 OTHER_SCRIPT = 0.5
 #: The code for no or another language (ISO 639-2).
 UNKNOWN = "und"
 #: Scales tried for turning scores into probabilities; the one under which the sample's lines are likeliest is taken.
-SCALES = (0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2)
+SCALES = (0.1, 0.2, 0.4, 0.8, 1.6, 3.2, 6.4, 12.8)
 
 # The languages told apart, their letters, and ways to name them.
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru")

@@ -145,3 +145,21 @@ def test_pages_with_little_damage_are_repaired_too():
     page = "\n".join([PROSE["ru"]] * 8 + [damaged] + [PROSE["ru"]] * 8)
     fix = encoding_repair.Repairer(*encoding_repair.pair_counts(corpus))
     assert fix([page]) == ["\n".join([PROSE["ru"]] * 8 + [PROSE["ru"][:40]] + [PROSE["ru"]] * 8)]
+
+
+OTHER_LANGUAGES = [
+    "Il motore di ricerca legge ogni pagina e conta le parole che appaiono nel testo, poi ordina i risultati secondo la loro importanza per la domanda. Quando una pagina cambia, il programma la visita di nuovo e aggiorna il suo indice.",
+    "Пошукова система читає кожну сторінку й рахує слова, які трапляються в тексті, а потім упорядковує результати за їхньою важливістю для запиту. Коли сторінка змінюється, програма знову її відвідує та оновлює свій покажчик.",
+    "検索エンジンはすべてのページを読み、テキストに現れる単語を数え、質問に対する重要度に応じて結果を並べ替えます。ページが変更されると、プログラムは再び訪問します。",
+]
+
+
+def test_other_languages_get_no_verdict():
+    model = languages.calibrated(languages.Prototypes({k: [v] * 3 for k, v in PROSE.items()}), {k: [v] * 3 for k, v in PROSE.items()})
+    table = model.table()
+    found, sure = languages.verdicts(*languages.score_lines(OTHER_LANGUAGES, table, count_other=True), model)
+    assert found.tolist() == [-1, -1, -1]
+    known, sure = languages.verdicts(*languages.score_lines(list(PROSE.values()), table, count_other=True), model)
+    assert [languages.LANGUAGES[k] for k in known] == list(PROSE) and (sure > 0.5).all() and (sure <= 1).all()
+    none = languages.verdicts(*languages.score_lines([""], table, count_other=True), model)
+    assert none[0].tolist() == [-1]
