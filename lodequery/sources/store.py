@@ -1,35 +1,66 @@
-"""Versioned index on shared storage: a folder for each version and a pointer that is replaced at once."""
+"""Versioned datasets on shared storage: a folder for each version, and a small file that publishes it at once.
+
+Files go through Hadoop's file systems, so any storage that Spark reads will do. A
+version is published by creating a file of its own name, which either happens or
+doesn't; the greatest name is the current version.
+"""
 
 from __future__ import annotations
 
 import json
-import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodequery.operators.index import Index
-from lodequery.session import cut_lineage
 
-POINTER = "_CURRENT"
+PUBLISHED = "_PUBLISHED"
 _PARTS = ("postings", "terms", "lengths", "stats")
+#: Parts that a documents table is kept in; a batch rewrites only those it touches.
+BUCKETS = 64
+DOCUMENT_SCHEMA = "url string, title string, content_text string, content_hash string, token_count int"
+
+
+def _files(path: str):
+    spark = SparkSession.active()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _manifest_path(root: str, version: int) -> str:
+    return f"{root}/{PUBLISHED}/{version:020d}.json"
 
 
 def current_version(root: str) -> int:
     """The published version, 0 before the first one."""
-    try:
-        with open(os.path.join(root, POINTER)) as f:
-            return int(json.load(f)["version"])
-    except FileNotFoundError:
+    files, at = _files(f"{root}/{PUBLISHED}")
+    if not files.exists(at):
         return 0
+    names = [s.getPath().getName() for s in files.listStatus(at)]
+    return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
 
 
-def _publish(root: str, version: int) -> None:
-    temporary = os.path.join(root, f"{POINTER}.{version}")
-    with open(temporary, "w") as f:
-        json.dump({"version": version}, f)
-    os.replace(temporary, os.path.join(root, POINTER))
+def _manifest(root: str, version: int) -> dict:
+    files, at = _files(_manifest_path(root, version))
+    stream = files.open(at)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode("utf-8"))
+    finally:
+        stream.close()
+
+
+def _publish(root: str, version: int, manifest: dict | None = None) -> None:
+    files, at = _files(_manifest_path(root, version))
+    stream = files.create(at, False)  # fails if somebody else published it
+    try:
+        stream.write(json.dumps({"version": version, **(manifest or {})}).encode("utf-8"))
+    finally:
+        stream.close()
+
+
+def _next_version(root: str, now_ms: int | None = None) -> int:
+    return max(now_ms if now_ms is not None else int(time.time() * 1000), current_version(root) + 1)
 
 
 def write_index(index: Index, root: str, now_ms: int | None = None) -> int:
@@ -37,9 +68,8 @@ def write_index(index: Index, root: str, now_ms: int | None = None) -> int:
 
     Postings are sorted by term in ranges, so a query's terms prune row groups.
     """
-    os.makedirs(root, exist_ok=True)
-    version = max(now_ms if now_ms is not None else int(time.time() * 1000), current_version(root) + 1)
-    at = os.path.join(root, f"v={version}")
+    version = _next_version(root, now_ms)
+    at = f"{root}/v={version}"
     ordered = index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
     ordered.select("term", "doc_id", "tf", "positions", "doc_len").write.parquet(f"{at}/postings")
     index.terms.repartitionByRange("term").sortWithinPartitions("surface_form").write.parquet(f"{at}/terms")
@@ -54,7 +84,7 @@ def write_index(index: Index, root: str, now_ms: int | None = None) -> int:
 
 
 def load_version(spark: SparkSession, root: str, version: int) -> Index:
-    return Index(*(spark.read.parquet(os.path.join(root, f"v={version}", part)) for part in _PARTS))
+    return Index(*(spark.read.parquet(f"{root}/v={version}/{part}") for part in _PARTS))
 
 
 def load_index(spark: SparkSession, root: str) -> Index:
@@ -64,15 +94,34 @@ def load_index(spark: SparkSession, root: str) -> Index:
     return load_version(spark, root, version)
 
 
-def write_documents(docs: DataFrame, root: str) -> int:
-    """A new version of the documents table, published in the same way."""
-    os.makedirs(root, exist_ok=True)
-    version = max(int(time.time() * 1000), current_version(root) + 1)
-    cut_lineage(docs).write.parquet(os.path.join(root, f"v={version}"))
-    _publish(root, version)
-    return version
+def bucket_of(url) -> F.Column:
+    return F.pmod(F.xxhash64(url), F.lit(BUCKETS)).cast("int")
+
+
+def _bucket_paths(root: str, manifest: dict, only: list[int] | None = None) -> list[str]:
+    return [f"{root}/v={v}/bucket={b}" for b, v in manifest.get("buckets", {}).items() if only is None or int(b) in only]
 
 
-def load_documents(spark: SparkSession, root: str) -> DataFrame | None:
+def documents_manifest(root: str) -> dict:
+    """Which version each bucket is of, and the batches applied."""
     version = current_version(root)
-    return spark.read.parquet(os.path.join(root, f"v={version}")) if version else None
+    return _manifest(root, version) if version else {"buckets": {}, "batches": []}
+
+
+def load_documents(spark: SparkSession, root: str, only: list[int] | None = None, manifest: dict | None = None) -> DataFrame:
+    """The current documents, or those of some buckets."""
+    paths = _bucket_paths(root, documents_manifest(root) if manifest is None else manifest, only)
+    return spark.read.schema(DOCUMENT_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], DOCUMENT_SCHEMA)
+
+
+def replace_buckets(docs: DataFrame, root: str, buckets: list[int], manifest: dict, batch: str | None = None) -> int:
+    """A new version in which ``docs`` take the place of all documents of ``buckets``; other buckets stay as they are."""
+    version = _next_version(root)
+    at = f"{root}/v={version}"
+    docs.withColumn("bucket", bucket_of("url")).repartition(len(buckets), "bucket").write.partitionBy("bucket").parquet(at)
+    files, path = _files(at)
+    written = {n[7:] for s in files.listStatus(path) if (n := s.getPath().getName()).startswith("bucket=")}
+    kept = {b: v for b, v in manifest["buckets"].items() if int(b) not in buckets}
+    applied = [*manifest["batches"], *([batch] if batch is not None else [])][-1000:]
+    _publish(root, version, {"buckets": kept | dict.fromkeys(written, version), "batches": applied})
+    return version

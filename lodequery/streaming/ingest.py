@@ -13,16 +13,24 @@ from lodequery.sources import store
 PAGE_SCHEMA = "url string, title string, content_text string, noindex boolean, arrival long"
 
 
-def merge_batch(pages: DataFrame, root: str) -> dict[str, int]:
-    """Merges one batch into the documents published under ``root``; the outcomes with their counts."""
+def merge_batch(pages: DataFrame, root: str, batch: str | None = None) -> dict[str, int]:
+    """Merges one batch into the documents published under ``root``; the outcomes with their counts.
+
+    Only buckets of addresses that the batch changes are read in full and written again;
+    of the others, addresses and hashes are looked at. A batch whose name was applied
+    before changes nothing.
+    """
+    manifest = store.documents_manifest(root)
+    if batch is not None and batch in manifest["batches"]:
+        return {}
     spark = pages.sparkSession
-    known = store.load_documents(spark, root)
-    if known is None:
-        known = spark.createDataFrame([], "url string, title string, content_text string, content_hash string, token_count int")
-    classified = cut_lineage(storage.classify_pages(pages, known))
+    classified = cut_lineage(storage.classify_pages(pages, store.load_documents(spark, root, manifest=manifest)))
     outcomes = {r.outcome: r["count"] for r in classified.groupBy("outcome").count().collect()}
-    if set(outcomes) - {"duplicate", "empty"}:
-        store.write_documents(storage.merge_documents(known, classified), root)
+    acted = classified.where("outcome IN ('inserted', 'updated', 'noindex')")
+    touched = [r.b for r in acted.select(store.bucket_of("url").alias("b")).distinct().collect()]  # BUCKETS at most
+    if touched:
+        part = store.load_documents(spark, root, touched, manifest)
+        store.replace_buckets(storage.merge_documents(part, acted), root, touched, manifest, batch)
     return outcomes
 
 
@@ -30,9 +38,9 @@ def ingest(spark: SparkSession, source: str, root: str, checkpoint: str, once: b
     """Reads JSON pages that arrive in ``source``; each batch is published as a version of the documents."""
     pages = spark.readStream.schema(PAGE_SCHEMA).json(source)
 
-    def step(batch: DataFrame, _: int) -> None:
+    def step(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            merge_batch(batch, root)
+            merge_batch(batch, root, f"{checkpoint}#{number}")
 
     writer = pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -5,7 +5,7 @@ import pytest
 from lodequery.functions import clean, web
 from lodequery.operators import crawl, storage
 from lodequery.sources import store
-from lodequery.streaming.ingest import ingest
+from lodequery.streaming.ingest import ingest, merge_batch
 from pyspark.sql import functions as F
 
 URLS = [
@@ -179,4 +179,10 @@ def test_stream_of_pages(spark, tmp_path):
         lines = [json.dumps({"url": u, "title": t, "content_text": c, "noindex": False, "arrival": a}) for u, t, c, a in rows]
         (source / f"{k}.json").write_text("\n".join(lines))
         ingest(spark, str(source), root, str(tmp_path / "ckpt")).awaitTermination()
-    assert {r.url: r.content_text for r in store.load_documents(spark, root).collect()} == {"u1": "two", "u3": "one"}
+    held = {"u1": "two", "u3": "one"}
+    assert {r.url: r.content_text for r in store.load_documents(spark, root).collect()} == held
+    again = spark.createDataFrame([("u9", "T", "nine", False, 9)], PAGES)
+    version = store.current_version(root)
+    assert merge_batch(again, root, str(tmp_path / "ckpt") + "#0") == {} and store.current_version(root) == version
+    assert merge_batch(again, root) == {"inserted": 1} and merge_batch(again.withColumn("noindex", F.lit(True)), root) == {"noindex": 1}
+    assert {r.url: r.content_text for r in store.load_documents(spark, root).collect()} == held
