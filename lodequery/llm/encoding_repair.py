@@ -199,34 +199,33 @@ def improbable_runs(text: str, scores: PairScores) -> list[tuple[int, int]]:
     value = -scores.of_codes(codes)
     plain = (codes[:-1] < 128) & (codes[1:] < 128)
     value[plain] = -PLAIN_COST
+    mixed = np.flatnonzero(~plain)
+    hot = value[mixed] > 0
+    if not hot.any():
+        return []
+    # Plain pairs cost their sum; after more than 64 of them all candidates are settled.
+    part = np.r_[0, np.cumsum(np.diff(mixed) > 64)][hot].tolist()
+    sums = np.cumsum(value)
+    at = mixed[hot]
     runs = []
     # Candidates sorted by start, each with the cumulative score before it and at its end.
-    stack: list[list[float]] = []
-    total = 0.0
-    for i in np.flatnonzero(~plain):
-        v = float(value[i])
-        gap = i - (stack[-1][4] if stack else 0)
-        if stack and gap > 64:
-            runs += [(int(s[2]), int(s[3])) for s in stack if s[1] - s[0] >= LEAST_SEGMENT]
-            stack, total = [], 0.0
-        elif stack and gap > 1:
-            total -= PLAIN_COST * (gap - 1)
-        if stack:
-            stack[-1][4] = i
-        if v <= 0:
-            total += v
-            continue
-        fresh = [total, total + v, i, i + 2, i]
-        total += v
+    stack: list[tuple[float, float, int, int]] = []
+    before = part[0]
+    for i, k, above, v in zip(at.tolist(), part, sums[at].tolist(), value[at].tolist(), strict=True):
+        if k != before:
+            runs += [(s[2], s[3]) for s in stack if s[1] - s[0] >= LEAST_SEGMENT]
+            stack, before = [], k
+        fresh = (above - v, above, i, i + 2)
         while True:
-            j = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][0] < fresh[0]), -1)
+            j = len(stack) - 1
+            while j >= 0 and stack[j][0] >= fresh[0]:
+                j -= 1
             if j < 0 or stack[j][1] >= fresh[1]:
                 stack.append(fresh)
                 break
-            fresh = [stack[j][0], fresh[1], stack[j][2], fresh[3], i]
+            fresh = (stack[j][0], fresh[1], stack[j][2], fresh[3])
             del stack[j:]
-    runs += [(int(s[2]), int(s[3])) for s in stack if s[1] - s[0] >= LEAST_SEGMENT]
-    return runs
+    return runs + [(s[2], s[3]) for s in stack if s[1] - s[0] >= LEAST_SEGMENT]
 
 
 def _quoted(text: str, lo: int, hi: int) -> bool:

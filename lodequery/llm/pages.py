@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -76,8 +77,7 @@ def lines_of(texts: list[str], labels: list[str]) -> Lines:
     find = TOKEN.findall
     split = [find((t + "\n").lower()) for t in texts]
     sizes = np.array([len(s) for s in split], np.int64)
-    lookup = _hashes
-    tokens = np.fromiter((lookup[w] for words in split for w in words), _U, count=int(sizes.sum()))
+    tokens = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(split)), _U, count=int(sizes.sum()))
     page_of = np.repeat(np.arange(len(texts)), sizes)
     signs = tokens == _U(CUT)
     cuts = np.flatnonzero(signs)
