@@ -181,6 +181,20 @@ def build_index(docs: DataFrame, check_ids: bool = True) -> Index:
     return Index(posted, terms, lengths, corpus_stats(lengths))
 
 
+def _body_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Indexed tokens of the body with their terms, from batches with ``body`` (where it begins)."""
+    for batch in batches:
+        body = dict(zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), strict=True))
+        for placed in _offset_batches(iter([batch])):
+            coded = placed.column("raw").dictionary_encode()
+            known = pa.array([k and k[1] for k in (_terms[w] for w in coded.dictionary.to_pylist())], pa.string())
+            terms = known.take(coded.indices)
+            begins = np.array([body[d] for d in placed.column("doc_id").to_pylist()], np.int64)
+            keep = pa.array((np.asarray(placed.column("start")) >= begins) & np.asarray(terms.is_valid()))
+            columns = [placed.column("doc_id"), placed.column("start"), placed.column("end"), terms]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "end", "term"]).filter(keep)
+
+
 def _offset_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lengths, gaps, fits = (batch.column(c) for c in ("lengths", "gaps", "fits"))
@@ -207,11 +221,21 @@ def token_offsets(docs: DataFrame) -> DataFrame:
     The text splits into tokens and the gaps between them; running sums of their lengths
     inside each row give the offsets, without an exchange.
     """
+    return _sized_tokens(docs).mapInArrow(_offset_batches, "doc_id bigint, position int, raw string, start int, end int")
+
+
+def body_terms(docs: DataFrame) -> DataFrame:
+    """``doc_id, start, end, term`` of every indexed token of the body, offsets in the indexed text; ids are unique."""
+    return _sized_tokens(docs).mapInArrow(_body_terms, "doc_id bigint, start int, end int, term string")
+
+
+def _sized_tokens(docs: DataFrame) -> DataFrame:
     text = indexable_text(F.col("title"), F.col("content_text"))
     found = F.regexp_extract_all(F.col("text"), F.lit(TOKEN_PATTERN), F.lit(0))
-    parts = docs.select("doc_id", text.alias("text")).select("doc_id", found.alias("tokens"), F.split("text", TOKEN_PATTERN, -1).alias("gaps"))
-    sized = parts.select(
-        "doc_id", "tokens", F.transform("tokens", F.length).alias("lengths"), F.transform(F.slice("gaps", 1, F.size("tokens")), F.length).alias("gaps"),
+    body = F.length(F.coalesce("title", F.lit(""))) + 2
+    parts = docs.select("doc_id", text.alias("text"), body.alias("body"))
+    parts = parts.select("doc_id", "body", found.alias("tokens"), F.split("text", TOKEN_PATTERN, -1).alias("gaps"))
+    return parts.select(
+        "doc_id", "body", "tokens", F.transform("tokens", F.length).alias("lengths"), F.transform(F.slice("gaps", 1, F.size("tokens")), F.length).alias("gaps"),
         F.transform("tokens", lambda t: utf16_length(t) <= MAX_TOKEN_LENGTH).alias("fits"),
     )
-    return sized.mapInArrow(_offset_batches, "doc_id bigint, position int, raw string, start int, end int")

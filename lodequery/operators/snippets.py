@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodequery.functions.text import utf16_length
-from lodequery.operators.index import indexable_text, token_offsets, vocabulary
-from lodequery.operators.joins import broadcast_if_small
+from lodequery.operators.index import body_terms, indexable_text
 from lodequery.session import cut_lineage
 
 # Snippet length, its least value, how far a word boundary is looked for, and the marks of a cut.
@@ -21,11 +20,7 @@ PREFIX, SUFFIX = "… ", " …"
 
 def matched_tokens(docs: DataFrame, stems: DataFrame) -> DataFrame:
     """``doc_id, start, end, term`` of body tokens whose term is among the document's ``stems`` (``doc_id, term``)."""
-    tokens = token_offsets(docs)
-    vocab = cut_lineage(vocabulary(tokens))
-    body = docs.select("doc_id", (F.length(F.coalesce("title", F.lit(""))) + 2).alias("body"))
-    terms = tokens.join(broadcast_if_small(vocab.select("raw", "term")), "raw").join(body, "doc_id").where("start >= body")
-    return terms.join(stems.select("doc_id", "term").distinct(), ["doc_id", "term"], "left_semi").select("doc_id", "start", "end", "term")
+    return body_terms(docs).join(stems.select("doc_id", "term").distinct(), ["doc_id", "term"], "left_semi").select("doc_id", "start", "end", "term")
 
 
 def best_window(matched: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:

@@ -130,5 +130,10 @@ def merge_errors(log: DataFrame) -> DataFrame:
 
 
 def clear_errors(errors: DataFrame, stored: DataFrame) -> DataFrame:
-    """Errors of addresses that were stored since are dropped."""
-    return errors.join(stored.select("url").distinct(), "url", "left_anti")
+    """Errors of addresses that were stored since are dropped: of a page's own address, the requested and the final one.
+
+    ``stored``: ``url`` and, where they are known, ``requested_url`` and ``final_url``.
+    """
+    names = [c for c in ("url", "requested_url", "final_url") if c in stored.columns]
+    done = stored.select(F.explode(F.array(*names)).alias("url")).where("url IS NOT NULL").distinct()
+    return errors.join(done, "url", "left_anti")

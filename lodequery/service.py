@@ -121,8 +121,13 @@ class SearchEngine:
         self._loaded: tuple[int, object] | None = None
 
     def _index(self, version: int):
+        """The index of a version; where it can't be loaded, the one loaded last goes on serving."""
         if self._loaded is None or self._loaded[0] != version:
-            self._loaded = (version, store.load_version(self.spark, self.root, version))
+            try:
+                self._loaded = (version, store.load_version(self.spark, self.root, version))
+            except Exception:
+                if self._loaded is None:
+                    raise
         return self._loaded[1]
 
     def search(self, query: str, page: int = 1, page_size: int = PAGE_SIZE, k1: float = ranking.K1, b: float = ranking.B,

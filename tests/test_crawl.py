@@ -169,6 +169,8 @@ def test_error_log(spark):
     rows = storage.merge_errors(frame).collect()
     assert [tuple(r) for r in rows] == [("u", "http-error", 500, None, 1, 3, 1, 9)]
     assert storage.clear_errors(storage.merge_errors(frame), spark.createDataFrame([("u",)], "url string")).count() == 0
+    moved = spark.createDataFrame([("x", "u", None)], "url string, requested_url string, final_url string")
+    assert storage.clear_errors(storage.merge_errors(frame), moved).count() == 0
 
 
 def test_stream_of_pages(spark, tmp_path):
