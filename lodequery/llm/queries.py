@@ -36,11 +36,11 @@ def p2_accepted(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p2_history(spark: SparkSession, at: str) -> DataFrame:
-    """The same pairs as they come out in six steps of four batches, each looked up in the stored tables of those before it."""
+    """The same pairs as they come out in three steps of eight batches, each looked up in the stored tables of those before it."""
     docs = read_table(spark, at, "documents")
     batches = [r.batch_id for r in read_table(spark, at, "crawl_batches").select("batch_id").distinct().orderBy("batch_id").collect()]  # 24 rows
     folder = f"{ensure_checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
-    repeats = near_duplicates.find_in_batches(docs, [batches[k : k + 4] for k in range(0, len(batches), 4)], folder, docs.count())
+    repeats = near_duplicates.find_in_batches(docs, [batches[k : k + 8] for k in range(0, len(batches), 8)], folder, docs.count())
     return repeats.select(F.least("doc_id", "first").alias("doc_id_a"), F.greatest("doc_id", "first").alias("doc_id_b"))
 
 
